@@ -18,7 +18,7 @@ from vendastat.operators.sampling import fixed_sample
 from vendastat.plans import briefs, customers, performance, reports
 from vendastat.plans.catalog import PAYMENT_VIEW, VIEWS, register_views
 from vendastat.plans.fact import DELIVERED, order_fact
-from vendastat.sources.retail import payments, retail_star
+from vendastat.sources.retail import RetailStar, payments
 from vendastat.sources.sinks import json_payload
 from vendastat.sources.tables import run_query, table_inventory
 
@@ -45,7 +45,7 @@ def comparable(df: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def fact(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    return order_fact(retail_star(spark, folder, columns, DELIVERED), columns)
+    return order_fact(RetailStar(spark, folder, columns, DELIVERED), columns)
 
 
 def view(name: str) -> Query:
@@ -107,7 +107,7 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
 
 def monthly_by_sql(spark: SparkSession, folder: str) -> DataFrame:
     """Registered views queried as SQL text with a bound parameter."""
-    register_views(spark, retail_star(spark, folder, status=DELIVERED))
+    register_views(spark, RetailStar(spark, folder, status=DELIVERED))
     query = "SELECT * FROM vw_monthly_kpis WHERE total_orders >= :min_orders ORDER BY purchase_month"
     return comparable(run_query(spark, query, {"min_orders": MIN_ORDERS}), 6)
 

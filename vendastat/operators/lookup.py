@@ -13,25 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vendastat.session import scan_bytes
+
 # A key is hot if it holds more than this share of all rows; so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 1 / 2000
 # Keys are first counted in this many groups, to look closer at the few that can hold a hot key.
 KEY_GROUPS = 1 << 16
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Total size of everything ``df`` reads, by Catalyst's statistics of its leaf scans.
-
-    An upper bound for results of filters, projections and lookups by unique key. In-memory
-    tables of unknown size count as unbounded.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
 def broadcast_limit(spark: SparkSession) -> int:
     """Spark's own limit for broadcasting a table, in bytes; -1 if broadcasting is off."""
     return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
@@ -67,13 +56,24 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list[tuple[
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "left",
+    spread_by: list[str] | None = None,
+    counted: DataFrame | None = None,
+    share: float = HOT_SHARE,
 ) -> DataFrame:
-    """``rows`` with the columns of ``lookup``, joined on ``key`` (``how``: left or inner)."""
+    """``rows`` with the columns of ``lookup``, joined on ``key`` (``how``: left or inner).
+
+    ``spread_by`` names columns that tell the rows of a hot key apart (default: all, which
+    makes the plan read all of them). ``counted`` is a cheaper table to count the keys on,
+    such as the scan ``rows`` was made from.
+    """
     spark = rows.sparkSession
     if scan_bytes(lookup) <= broadcast_limit(spark):
         return rows.join(F.broadcast(lookup), key, how)
-    salts = dict(hot_keys(rows, key, share))
+    salts = dict(hot_keys(rows if counted is None else counted, key, share))
     null_salts = salts.pop(None, 1)
     if not salts and (how == "inner" or null_salts == 1):
         return rows.join(lookup, key, how)
@@ -83,7 +83,7 @@ def lookup_join(
     hot = F.broadcast(spark.createDataFrame(list(salts.items()), schema))
     one = F.lit(1).cast("bigint")
     # A salt drawn from the row itself stays the same when a lost task is run again.
-    spread = F.xxhash64(*rows.columns)
+    spread = F.xxhash64(*(spread_by or rows.columns))
     rows = rows.join(hot, key, "left").withColumn(
         "_salt",
         F.when(F.col(key).isNull(), F.pmod(spread, F.lit(null_salts)))

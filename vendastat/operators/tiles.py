@@ -11,14 +11,16 @@ The samples only steer the search; every rank is decided by exact counts.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendastat.operators.lookup import scan_bytes
-from vendastat.session import materialize
+from vendastat.session import materialize, scan_bytes
 
 # Up to this much input, a plain window in one task is cheaper than several passes.
 PLAIN_WINDOW_BYTES = 256 * 1024 * 1024
@@ -71,9 +73,12 @@ class _Order:
 
     def members(self, cuts: list[_Cut], extra: list[Column] | None = None) -> DataFrame:
         """One row (cut number, key) per cut interval a row lies in."""
-        extra = extra or [F.lit(True)] * len(cuts)
-        numbers = F.array(*[F.when(self.inside(c) & e, F.lit(i)) for i, (c, e) in enumerate(zip(cuts, extra))])
-        return self.rows.select(F.explode(F.array_compact(numbers)).alias("cut"), "key")
+        tests = [self.inside(c) for c in cuts]
+        if extra:
+            tests = [t & e for t, e in zip(tests, extra)]
+        numbers = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
+        few = self.rows.where(reduce(Column.__or__, tests))
+        return few.select(F.explode(numbers).alias("cut"), "key")
 
 
 def _propose(order: _Order, cuts: list[_Cut], seed: int, sample_rows: int) -> dict[int, tuple]:
@@ -178,12 +183,16 @@ def global_ntile(
     df = materialize(df, "tiles")
     n = df.count()
     ranks = last_ranks(n, tiles)
-    out = {}
-    for name, (column, direction) in scores.items():
-        order = _Order(df, column, direction, tie_break)
+
+    def tile_of(score: tuple[str, str]) -> Column:
+        order = _Order(df, *score, tie_break)
         tile = F.lit(1)
         if ranks:
             for cut in cut_rows(order, ranks, n, sample_rows, pick_rows):
                 tile = tile + F.when(order.key > order.literal(cut), 1).otherwise(0)
-        out[name] = tile
-    return df.withColumns(out)
+        return tile
+
+    # The searches are independent and made of short jobs, so they run side by side.
+    with ThreadPoolExecutor(len(scores)) as pool:
+        columns = list(pool.map(inheritable_thread_target(df.sparkSession)(tile_of), scores.values()))
+    return df.withColumns(dict(zip(scores, columns)))

@@ -57,6 +57,7 @@ FACT_COLUMNS = [
 ]
 CUSTOMER_COLUMNS = ["customer_unique_id", "customer_city", "customer_state"]
 SELLER_COLUMNS = ["seller_city", "seller_state"]
+ITEM_KEY = ["order_id", "order_item_id"]
 
 
 def _item_column(name: str):
@@ -75,12 +76,14 @@ def order_fact(star: StarSchema, columns: Iterable[str] | None = None) -> DataFr
     of_customer = [c for c in wanted if c in CUSTOMER_COLUMNS]
     of_seller = [c for c in wanted if c in SELLER_COLUMNS]
     of_item = [c for c in wanted if c not in CUSTOMER_COLUMNS + SELLER_COLUMNS]
-    keys = [k for k, used in (("customer_id", of_customer), ("seller_id", of_seller)) if used]
-    of_item += [k for k in keys if k not in of_item]
+    # Columns the joins may need; unread ones are pruned from the scan.
+    of_item += [k for k in [*ITEM_KEY, "customer_id", "seller_id"] if k not in of_item]
 
     fact = star.items.where(F.col("order_status") == DELIVERED).select([_item_column(c) for c in of_item])
     if of_customer:
-        fact = lookup_join(fact, star.customers.select("customer_id", *of_customer), "customer_id")
+        lookup = star.customers.select("customer_id", *of_customer)
+        fact = lookup_join(fact, lookup, "customer_id", spread_by=ITEM_KEY)
     if of_seller:
-        fact = lookup_join(fact, star.sellers.select("seller_id", *of_seller), "seller_id")
+        lookup = star.sellers.select("seller_id", *of_seller)
+        fact = lookup_join(fact, lookup, "seller_id", spread_by=ITEM_KEY, counted=star.items)
     return fact.select(wanted)

@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendastat.operators.lookup import lookup_join
 from vendastat.plans.fact import RENAMED
-from vendastat.schemas import CUSTOMERS, ORDER_ITEMS, PAYMENTS, SELLERS, StarSchema, conform
+from vendastat.schemas import CUSTOMERS, ORDER_ITEMS, PAYMENTS, SELLERS, conform
+from vendastat.session import materialize, scan_bytes
+
+# Larger input is joined once and stored, because several passes over the items follow.
+STORE_ITEMS_BYTES = 4 * 1024**3
+
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_tax double",
+    "events": "user_id bigint, event_type string, value double, props string",
+}
 
 # How the generic tables' codes are read.
 STATUS_OF_CODE = {"F": "delivered", "O": "shipped", "P": "canceled"}
@@ -58,9 +76,21 @@ ITEM_EXPRESSIONS = {
     "total_payment_value": "cast(o_totalprice as decimal(12,2))",
 }
 
+CUSTOMER_EXPRESSIONS = {
+    "customer_id": "c_custkey",
+    "customer_unique_id": "concat('CU', c_custkey - c_custkey % 2)",
+    "customer_city": "c_mktsegment",
+    "customer_state": "n_name",
+}
+
+# Item columns every order fact may need for its filter and joins.
+JOIN_COLUMNS = {
+    "order_id", "order_item_id", "order_status", "order_purchase_timestamp", "customer_id", "seller_id",
+}
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def order_items(spark: SparkSession, folder: str, columns: Iterable[str], status: str | None = None) -> DataFrame:
@@ -73,23 +103,23 @@ def order_items(spark: SparkSession, folder: str, columns: Iterable[str], status
     if status is not None:
         code = next(c for c, s in STATUS_OF_CODE.items() if s == status)
         orders = orders.where(F.col("o_orderstatus") == code)
-    joined = _table(spark, folder, "lineitem").withColumn("o_orderkey", F.col("l_orderkey"))
-    joined = lookup_join(joined, orders, "o_orderkey", "inner")
+    lines = _table(spark, folder, "lineitem").withColumn("o_orderkey", F.col("l_orderkey"))
+    spread = ["l_partkey", "l_suppkey", "l_linenumber"]
+    joined = lookup_join(lines, orders, "o_orderkey", "inner", spread_by=spread)
     if "category_en" in columns:
         parts = _table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
-        joined = lookup_join(joined, parts, "l_partkey")
-    return joined.select(*[F.expr(ITEM_EXPRESSIONS[c]).alias(c) for c in columns])
+        spread = ["l_orderkey", "l_linenumber"]
+        joined = lookup_join(joined, parts, "l_partkey", spread_by=spread, counted=lines)
+    items = joined.select(*[F.expr(ITEM_EXPRESSIONS[c]).alias(c) for c in columns])
+    return materialize(items, "items") if scan_bytes(items) > STORE_ITEMS_BYTES else items
 
 
-def customers(spark: SparkSession, folder: str) -> DataFrame:
-    nations = _table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+def customers(spark: SparkSession, folder: str, columns: Iterable[str] = CUSTOMERS.fieldNames()) -> DataFrame:
     known = _table(spark, folder, "customer").where("c_custkey % 50 <> 0")
-    return lookup_join(known, nations, "c_nationkey").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.expr("concat('CU', c_custkey - c_custkey % 2)").alias("customer_unique_id"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
-    )
+    if "customer_state" in columns:
+        nations = _table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+        known = lookup_join(known, nations, "c_nationkey")
+    return known.select(*[F.expr(CUSTOMER_EXPRESSIONS[c]).alias(c) for c in columns])
 
 
 def sellers(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,21 +143,37 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def retail_star(
-    spark: SparkSession, folder: str, fact_columns: Iterable[str] | None = None, status: str | None = None
-) -> StarSchema:
-    """The four tables; with ``fact_columns``, only what an order fact of those columns needs."""
-    if fact_columns is None:
-        wanted = set(ITEM_EXPRESSIONS)
-    else:
-        keys = {"order_status", "order_purchase_timestamp", "customer_id", "seller_id"}
-        wanted = {RENAMED.get(c, c) for c in fact_columns} | keys
-    items = order_items(spark, folder, wanted, status)
-    if fact_columns is None:
-        items = conform(items, ORDER_ITEMS)
-    return StarSchema(
-        items,
-        conform(customers(spark, folder), CUSTOMERS),
-        conform(sellers(spark, folder), SELLERS),
-        conform(payments(spark, folder), PAYMENTS),
-    )
+class RetailStar:
+    """The four tables of a ``StarSchema``, each built when first asked for.
+
+    With ``fact_columns``, items and customers hold only what an order fact of those columns
+    needs; ``status`` limits the items to orders of that status.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, fact_columns: Iterable[str] | None = None, status: str | None = None
+    ):
+        self.spark, self.folder, self.status = spark, folder, status
+        self.fact_columns = None if fact_columns is None else list(fact_columns)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        if self.fact_columns is None:
+            return conform(order_items(self.spark, self.folder, ITEM_EXPRESSIONS, self.status), ORDER_ITEMS)
+        wanted = {RENAMED.get(c, c) for c in self.fact_columns} | JOIN_COLUMNS
+        return order_items(self.spark, self.folder, wanted, self.status)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        if self.fact_columns is None:
+            return conform(customers(self.spark, self.folder), CUSTOMERS)
+        wanted = [c for c in CUSTOMERS.fieldNames() if c == "customer_id" or c in self.fact_columns]
+        return customers(self.spark, self.folder, wanted)
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return conform(sellers(self.spark, self.folder), SELLERS)
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return conform(payments(self.spark, self.folder), PAYMENTS)
