@@ -37,9 +37,20 @@ DEFAULT_CAVEAT = (
 )
 
 
+_STRICT_JSON = {"allowSingleQuotes": "false"}
+
+
+def _top_level(document: str) -> Column:
+    """Keys and raw values of the document; NULL unless it is exactly one JSON object."""
+    # Inside a list, text after the object no longer goes unnoticed.
+    single = F.json_array_length(F.concat(F.lit("["), F.col(document), F.lit("]"))) == 1
+    return F.when(single, F.from_json(document, "map<string,string>", _STRICT_JSON))
+
+
 def parse_briefs(df: DataFrame, document: str = "document") -> DataFrame:
     """Adds the typed ``brief``; NULL where the text is not a JSON object."""
-    return df.withColumn("brief", F.from_json(document, BRIEF_SCHEMA))
+    brief = F.from_json(document, BRIEF_SCHEMA, _STRICT_JSON)
+    return df.withColumn("brief", F.when(_top_level(document).isNotNull(), brief))
 
 
 def validate_briefs(df: DataFrame, document: str = "document") -> DataFrame:
@@ -48,8 +59,7 @@ def validate_briefs(df: DataFrame, document: str = "document") -> DataFrame:
     Rules in order: JSON object, required keys (present, even if null), status, number of
     findings, of actions, of risks. A list that is no list breaks the rule on its size.
     """
-    top = F.from_json(document, "map<string,string>")
-    df = df.withColumn("_top", top)
+    df = df.withColumn("_top", _top_level(document))
     keys = F.map_keys("_top")
     missing = F.sort_array(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), keys))
     status = F.element_at("_top", F.lit("status"))
