@@ -478,7 +478,7 @@ ORACLE_SQL: dict[str, str] = {
            FROM judged""",
     ),
     "brief_markdown": _with(["judged", "actions_in_order"], _MARKDOWN),
-    "table_inventory": " UNION ALL ".join(
+    "list_tables": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in INPUT_TABLES
     ),
 }

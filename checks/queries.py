@@ -73,7 +73,7 @@ def months(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_total(spark: SparkSession, folder: str):
-    return reports.customer_count(fact(spark, folder, ["customer_unique_id"]))
+    return customers.customer_count(RetailStar(spark, folder, ["customer_unique_id"], DELIVERED))
 
 
 def on(source: Query, report: Callable[[DataFrame], DataFrame], digits: int | None = None) -> Query:
@@ -89,7 +89,7 @@ def rfm_distributed(high_is_good: bool) -> Query:
         metrics = view("vw_customer_metrics")(spark, folder)
         # Small limits, so that the search also takes several rounds on small data.
         scored = customers.rfm_segments(
-            metrics, high_is_good, distributed=True, sample_rows=200, pick_rows=200
+            metrics, high_is_good, distributed=True, sample_rows=400, pick_rows=400
         )
         return comparable(scored)
 
@@ -131,8 +131,7 @@ def on_time_shares(spark: SparkSession, folder: str) -> DataFrame:
     frame = sellers(spark, folder).select(
         "seller_id", F.col("on_time_pct").alias("from_pct"), (F.col("on_time_pct") / 100).alias("from_share")
     )
-    frame = normalize_percent(normalize_percent(frame, "from_pct"), "from_share")
-    return comparable(frame, 6)
+    return comparable(normalize_percent(frame, "from_pct", "from_share"), 6)
 
 
 def rfm_bundle(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,5 +242,5 @@ QUERIES: dict[str, Query] = {
     "brief_parse": parsed,
     "brief_validation": validated,
     "brief_markdown": rendered,
-    "table_inventory": inventory,
+    "list_tables": inventory,
 }

@@ -35,7 +35,7 @@ def test_percent_column_is_scaled_as_a_whole(spark):
     for small in (True, False):
 
         def scaled(values, ddl="x double", small=small):
-            return column(normalize_percent(frame(spark, [(v,) for v in values], ddl).coalesce(1), "x", small), "x")
+            return column(normalize_percent(frame(spark, [(v,) for v in values], ddl).coalesce(1), "x", small=small), "x")
 
         assert scaled([0.5, 1.0]) == [50.0, 100.0]
         assert scaled([0.5, 1.000001]) == [50.0, 1.000001 * 100]

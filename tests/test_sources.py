@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vendastat.plans.catalog import VIEWS, cache_views, refresh_views, register_views
 from vendastat.plans.fact import order_fact
 from vendastat.schemas import TABLES
-from vendastat.session import materialize, scan_bytes, shared_folder
+from vendastat.session import cluster_conf, materialize, scan_bytes, shared_folder
 from vendastat.sources.retail import RetailStar
 from vendastat.sources.sinks import file_stem, json_payload, save_fact, write_csv, write_documents
 from vendastat.sources.tables import list_tables, read_star, run_query, table_inventory
@@ -102,5 +102,12 @@ def test_scan_reads_only_the_columns_a_view_needs(spark):
     assert "l_discount" not in plan and "l_linenumber" not in plan and "SinglePartition" not in plan
 
 
+def test_cluster_settings_follow_the_input():
+    small, large = cluster_conf(10**9), cluster_conf(10**14)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert large["spark.sql.shuffle.partitions"] == "20000"
+    assert large["spark.sql.files.maxPartitionBytes"] == str(256 * 1024**2)
+
+
 def test_items_carry_every_declared_column(make_star):
     assert make_star([item(1)]).items.columns == TABLES["fact_order_items"].fieldNames()

@@ -8,9 +8,9 @@ from conftest import DATA, dicts, item, ts
 from pyspark.sql import functions as F
 
 from vendastat.plans import customers, performance
-from vendastat.plans.catalog import VIEWS
+from vendastat.plans.catalog import VIEWS, build_view
 from vendastat.plans.fact import FACT_COLUMNS, order_fact
-from vendastat.schemas import CUSTOMERS, ORDER_ITEMS, conform, duplicate_keys
+from vendastat.schemas import CUSTOMERS, ID_COLUMNS, ORDER_ITEMS, StarSchema, conform, duplicate_keys
 from vendastat.sources.retail import RetailStar
 
 JAN, FEB, MAR = dt.date(2020, 1, 1), dt.date(2020, 2, 1), dt.date(2020, 3, 1)
@@ -163,6 +163,29 @@ def test_repeated_dimension_keys_are_found(make_star):
     assert [tuple(r) for r in duplicate_keys(star.customers, "customer_id").collect()] == [(1, 2)]
 
 
+def test_customer_count_is_that_of_the_fact(make_star):
+    people = [(1, "P", "t", "S"), (2, "P", "t", "S"), (3, "Q", "t", "S"), (4, "R", "t", "S")]
+    items = [item(1), item(2, customer=2), item(3, customer=3), item(4, customer=4, order_status="shipped"), item(5, customer=99)]
+    star = make_star(items, customers=people)
+    assert star.items.sparkSession.range(1).select(customers.customer_count(star)).first()[0] == 2
+    assert order_fact(star).select("customer_unique_id").distinct().dropna().count() == 2
+
+
+def test_identifiers_may_be_text(spark):
+    star = RetailStar(spark, str(DATA), status="delivered")
+
+    def text(df):
+        ids = [c for c in df.columns if c in ID_COLUMNS]
+        return df.withColumns({c: F.concat(F.lit("id"), F.col(c)) for c in ids})
+
+    items, people = conform(text(star.items), ORDER_ITEMS), conform(text(star.customers), CUSTOMERS)
+    textual = StarSchema(items, people, text(star.sellers), text(star.payments))
+    for name in ("vw_monthly_kpis", "vw_rfm_segments", "vw_new_vs_returning"):
+        exact = [c for c in build_view(name, star).columns if not c.startswith(("avg_", "on_time"))]
+        one, two = build_view(name, star).select(exact), build_view(name, textual).select(exact)
+        assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0, name
+
+
 def test_schema_check(spark):
     with pytest.raises(ValueError, match="missing columns: customer_city"):
         conform(spark.createDataFrame([], "customer_id string, customer_unique_id string"), CUSTOMERS)

@@ -66,22 +66,26 @@ def coerce_numeric(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns(out)
 
 
-def normalize_percent(df: DataFrame, column: str, small: bool = False) -> DataFrame:
-    """Multiply a percent column by 100 if all of it looks like 0-1 shares.
+def normalize_percent(df: DataFrame, *columns: str, small: bool = False) -> DataFrame:
+    """Multiply each percent column by 100 if all of it looks like 0-1 shares.
 
     The rule looks at the whole column. ``small=True`` is for report tables (months,
     states, a top-N list), where a window over all rows costs nothing and the input is
-    computed once. Otherwise the maximum is a separate aggregate, which has no
-    single-task step but evaluates the input twice.
+    computed once. Otherwise the maxima are one separate aggregate, which has no
+    single-task step but evaluates the input a second time.
     """
-    if column not in df.columns:
+    columns = tuple(c for c in columns if c in df.columns)
+    if not columns:
         return df
-    df = coerce_numeric(df, column)
+    df = coerce_numeric(df, *columns)
     if small:
-        top = F.max(column).over(Window.partitionBy(F.lit(0)))
+        tops = {c: F.max(c).over(Window.partitionBy(F.lit(0))) for c in columns}
     else:
-        top = df.agg(F.max(column)).scalar()
-    return df.withColumn(column, F.when(top <= SHARE_CEILING, F.col(column) * 100).otherwise(F.col(column)))
+        largest = df.agg(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
+        tops = {c: largest[c] for c in columns}
+    return df.withColumns(
+        {c: F.when(top <= SHARE_CEILING, F.col(c) * 100).otherwise(F.col(c)) for c, top in tops.items()}
+    )
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:

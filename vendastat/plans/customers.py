@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendastat.functions.dates import months_between_starts, whole_days
 from vendastat.functions.numeric import exact_mean
 from vendastat.functions.rules import rfm_segment
+from vendastat.operators.lookup import lookup_join
 from vendastat.operators.tiles import global_ntile
+from vendastat.plans.fact import DELIVERED
+from vendastat.schemas import StarSchema
 
 CUSTOMER = "customer_unique_id"
 
@@ -39,6 +42,16 @@ def customer_metrics(fact: DataFrame) -> DataFrame:
     )
 
 
+def customer_count(star: StarSchema) -> Column:
+    """Number of known customers with a delivered item, as a scalar.
+
+    Items are reduced to one row per account before they meet the customer table.
+    """
+    accounts = star.items.where(F.col("order_status") == DELIVERED).select("customer_id").distinct()
+    known = star.customers.select("customer_id", CUSTOMER)
+    return lookup_join(accounts, known, "customer_id", "inner").agg(F.count_distinct(CUSTOMER)).scalar()
+
+
 def rfm_segments(
     metrics: DataFrame, high_is_good: bool = False, distributed: bool | None = None, **search: int
 ) -> DataFrame:

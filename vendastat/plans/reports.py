@@ -112,11 +112,6 @@ def status_by_month(months: DataFrame) -> DataFrame:
     )
 
 
-def customer_count(fact: DataFrame) -> Column:
-    """Number of known customers of the fact, as a scalar."""
-    return fact.agg(F.count_distinct("customer_unique_id")).scalar()
-
-
 # Segments -----------------------------------------------------------------------------
 
 

@@ -27,6 +27,22 @@ def get_session(app: str, master: str | None = None, conf: dict[str, str] | None
     return builder.getOrCreate()
 
 
+def cluster_conf(input_bytes: int, target: int = 256 * 1024**2) -> dict[str, str]:
+    """Settings that keep partitions near ``target`` bytes for input of the given size.
+
+    The views shuffle far less than they read, so a shuffle gets one partition per sixteen
+    of the input, and no more than map outputs can be tracked for. Small ones are merged at
+    run time.
+    """
+    partitions = str(min(20_000, max(200, -(-input_bytes // (16 * target)))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.shuffle.partitions": partitions,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": partitions,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target // 2),
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

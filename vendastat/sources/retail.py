@@ -62,7 +62,7 @@ ITEM_EXPRESSIONS = {
     "purchase_date": f"cast({_PURCHASED} as date)",
     "purchase_year": f"year({_PURCHASED})",
     "purchase_month": f"month({_PURCHASED})",
-    "purchase_ym": f"date_format({_PURCHASED}, 'yyyy-MM')",
+    "purchase_ym": f"left(cast(cast({_PURCHASED} as date) as string), 7)",
     "price": _PRICE,
     "freight_value": f"cast({_PRICE} * {_TAX} as decimal(18,4))",
     "item_total": f"cast({_PRICE} * (1 + {_TAX}) as decimal(18,4))",

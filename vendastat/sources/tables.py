@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendastat.schemas import TABLES, StarSchema, conform
+from vendastat.schemas import ID_COLUMNS, TABLES, StarSchema, conform
 
 
 def read_star(spark: SparkSession, path: str) -> StarSchema:
@@ -23,7 +23,7 @@ def read_star_jdbc(
     The fact is read in ``partitions`` parallel slices of the purchase time; ``first_day``
     and ``last_day`` only set the stride, rows outside are still read.
     """
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    reader = spark.read.format("jdbc").option("url", url).option("preferTimestampNTZ", True).options(**options)
     slices = {
         "partitionColumn": "order_purchase_timestamp",
         "lowerBound": first_day,
@@ -33,7 +33,8 @@ def read_star_jdbc(
     frames = []
     for table, schema in TABLES.items():
         extra = slices if table == "fact_order_items" else {}
-        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+        typed = [f for f in schema.fields if f.name not in ID_COLUMNS]
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed)
         loaded = reader.option("dbtable", table).option("customSchema", types).options(**extra).load()
         frames.append(conform(loaded, schema))
     return StarSchema(*frames)
