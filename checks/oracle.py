@@ -194,6 +194,11 @@ _USES = {
 }
 
 
+def _rounded(sql: str, digits: dict[str, int]) -> str:
+    shown = ", ".join(f"round({c}, {n}) AS {c}" for c, n in digits.items())
+    return f"SELECT * REPLACE ({shown}) FROM ({sql})"
+
+
 def _with(blocks: list[str], body: str) -> str:
     needed, todo = set(), list(blocks)
     while todo:
@@ -482,3 +487,17 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in INPUT_TABLES
     ),
 }
+ORACLE_SQL["executive_display"] = _rounded(
+    ORACLE_SQL["executive_kpis"],
+    {
+        "total_gmv": 2,
+        "weighted_average_order_value": 2,
+        "weighted_average_review_score": 3,
+        "weighted_on_time_pct": 3,
+        "latest_vs_previous_gmv_pct": 2,
+    },
+)
+ORACLE_SQL["new_returning_display"] = _rounded(
+    ORACLE_SQL["new_returning_kpis"],
+    {"total_revenue": 2, "new_revenue": 2, "returning_revenue": 2, "returning_revenue_share_pct": 2},
+)

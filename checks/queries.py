@@ -87,18 +87,14 @@ def same(df: DataFrame) -> DataFrame:
 def rfm_distributed(high_is_good: bool) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         metrics = view("vw_customer_metrics")(spark, folder)
-        # Small limits, so that the search also takes several rounds on small data.
-        scored = customers.rfm_segments(
-            metrics, high_is_good, distributed=True, sample_rows=400, pick_rows=400
-        )
-        return comparable(scored)
+        # A small sample, so that the search also takes several rounds on small data.
+        return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True, sample_rows=300))
 
     return run
 
 
-def executive(spark: SparkSession, folder: str) -> DataFrame:
-    bundle = reports.executive_kpis(months(spark, folder), customer_total(spark, folder), MIN_ORDERS)
-    return comparable(bundle, 6)
+def executive_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.executive_kpis(months(spark, folder), customer_total(spark, folder), MIN_ORDERS)
 
 
 def health(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +208,11 @@ QUERIES: dict[str, Query] = {
         ),
         6,
     ),
-    "executive_kpis": executive,
+    "executive_kpis": on(executive_bundle, same, 6),
+    "executive_display": on(executive_bundle, lambda b: reports.for_display(b, "executive_kpis")),
+    "new_returning_display": on(
+        split, lambda s: reports.for_display(reports.new_returning_kpis(s), "new_returning_kpis")
+    ),
     "business_health": health,
     "delivery_kpis": on(months, reports.delivery_kpis, 6),
     "status_by_month": on(months, reports.status_by_month, 6),

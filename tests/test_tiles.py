@@ -38,14 +38,14 @@ def test_search_equals_window(spark, kind, n):
 def test_search_narrows_over_several_rounds(spark, kind):
     rows = [(k, x, None) for k, x, _ in rows_of(kind, 3000)]
     df = frame(spark, rows, DDL)
-    got = tiles(df, distributed=True, sample_rows=40, pick_rows=25)
+    got = tiles(df, distributed=True, sample_rows=40)
     assert got == tiles(df, distributed=False)
 
 
 def test_repeated_tie_break_is_refused(spark):
     df = frame(spark, [("same", 1, None)] * 200, DDL)
     with pytest.raises(ValueError, match="unique"):
-        tiles(df, distributed=True, sample_rows=10, pick_rows=10)
+        tiles(df, distributed=True, sample_rows=40)
 
 
 def test_large_input_has_no_single_task_step(spark):
@@ -62,3 +62,8 @@ def test_tile_sizes(n, count):
     assert sum(sizes) == n
     assert max(sizes) - min(sizes) <= 1 or n < count
     assert sizes == sorted(sizes, reverse=True)
+
+
+def test_too_small_samples_are_refused(spark):
+    with pytest.raises(ValueError, match="sample_rows"):
+        global_ntile(frame(spark, [], DDL), SCORES, "key", sample_rows=5)

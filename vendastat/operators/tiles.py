@@ -24,8 +24,10 @@ from vendastat.session import materialize, scan_bytes
 
 # Up to this much input, a plain window in one task is cheaper than several passes.
 PLAIN_WINDOW_BYTES = 256 * 1024 * 1024
+# Rows drawn per round; an interval no longer than this is sorted as it is.
 SAMPLE_ROWS = 50_000
-PICK_ROWS = 50_000
+# With fewer, the margin around the wanted rank would span the whole sample.
+MIN_SAMPLE_ROWS = 30
 _HASH_RANGE = 1 << 40
 
 
@@ -128,11 +130,11 @@ def _narrow(order: _Order, cuts: list[_Cut], proposals: dict[int, tuple]) -> Non
             cut.low, cut.before, cut.size = high, cut.before + upto, cut.size - upto
 
 
-def cut_rows(order: _Order, ranks: list[int], n: int, sample_rows: int, pick_rows: int) -> list[Row]:
+def cut_rows(order: _Order, ranks: list[int], n: int, sample_rows: int) -> list[Row]:
     """The rows at the given ranks (from 1) of the order."""
     cuts = [_Cut(rank, n) for rank in ranks]
     seed = stalled = 0
-    while wide := [c for c in cuts if c.size > pick_rows]:
+    while wide := [c for c in cuts if c.size > sample_rows]:
         before = sum(c.size for c in wide)
         _narrow(order, wide, _propose(order, wide, seed, sample_rows))
         seed += 1
@@ -163,7 +165,6 @@ def global_ntile(
     tiles: int = 5,
     distributed: bool | None = None,
     sample_rows: int = SAMPLE_ROWS,
-    pick_rows: int = PICK_ROWS,
 ) -> DataFrame:
     """``df`` plus one tile number per score.
 
@@ -171,6 +172,8 @@ def global_ntile(
     unique. The distributed form, chosen by input size unless ``distributed`` says so, writes
     ``df`` once to the shared folder, because it is read in several passes.
     """
+    if sample_rows < MIN_SAMPLE_ROWS:
+        raise ValueError(f"sample_rows must be at least {MIN_SAMPLE_ROWS}")
     if distributed is None:
         distributed = scan_bytes(df) > PLAIN_WINDOW_BYTES
     if not distributed:
@@ -188,7 +191,7 @@ def global_ntile(
         order = _Order(df, *score, tie_break)
         tile = F.lit(1)
         if ranks:
-            for cut in cut_rows(order, ranks, n, sample_rows, pick_rows):
+            for cut in cut_rows(order, ranks, n, sample_rows):
                 tile = tile + F.when(order.key > order.literal(cut), 1).otherwise(0)
         return tile
 

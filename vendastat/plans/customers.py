@@ -9,7 +9,7 @@ from vendastat.functions.dates import months_between_starts, whole_days
 from vendastat.functions.numeric import exact_mean
 from vendastat.functions.rules import rfm_segment
 from vendastat.operators.lookup import lookup_join
-from vendastat.operators.tiles import global_ntile
+from vendastat.operators.tiles import SAMPLE_ROWS, global_ntile
 from vendastat.plans.fact import DELIVERED
 from vendastat.schemas import StarSchema
 
@@ -53,7 +53,7 @@ def customer_count(star: StarSchema) -> Column:
 
 
 def rfm_segments(
-    metrics: DataFrame, high_is_good: bool = False, distributed: bool | None = None, **search: int
+    metrics: DataFrame, high_is_good: bool = False, distributed: bool | None = None, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """Recency, frequency and revenue quintiles of ``customer_metrics``, and the segment.
 
@@ -67,7 +67,7 @@ def rfm_segments(
         "f_score": ("total_orders", "desc"),
         "m_score": ("total_revenue", "desc"),
     }
-    scored = global_ntile(metrics, scores, CUSTOMER, tiles=5, distributed=distributed, **search)
+    scored = global_ntile(metrics, scores, CUSTOMER, tiles=5, distributed=distributed, sample_rows=sample_rows)
     if high_is_good:
         scored = scored.withColumns({s: 6 - F.col(s) for s in scores})
     r, f, m = (F.col(s) for s in scores)

@@ -15,6 +15,7 @@ from vendastat.functions.numeric import (
     exact_mean,
     normalize_percent,
     pct_change,
+    rounded,
     share_pct,
     weighted_mean,
     weighted_mean_all,
@@ -29,6 +30,39 @@ SELLERS_TO_REVIEW = 20
 LEADING_CATEGORIES = 5
 COMPARED_COHORTS = 6
 
+# Decimals each bundle shows.
+DISPLAY_DIGITS = {
+    "executive_kpis": {
+        "total_gmv": 2,
+        "weighted_average_order_value": 2,
+        "weighted_average_review_score": 3,
+        "weighted_on_time_pct": 3,
+        "latest_vs_previous_gmv_pct": 2,
+    },
+    "rfm_kpis": {"top_segment_revenue_share_pct": 2},
+    "retention_kpis": {"month_1_average_retention_pct": 2, "month_3_average_retention_pct": 2},
+    "product_kpis": {
+        "top_category_revenue": 2,
+        "top_5_revenue_share_of_loaded_categories_pct": 2,
+        "top_5_average_rating": 2,
+    },
+    "seller_kpis": {
+        "flagged_seller_revenue": 2,
+        "top_seller_revenue": 2,
+        "top_seller_on_time_pct": 2,
+        "top_seller_rating": 2,
+    },
+    "geo_kpis": {"highest_gmv": 2, "lowest_on_time_pct": 2, "overall_state_gmv": 2},
+    "new_returning_kpis": {
+        "total_revenue": 2,
+        "new_revenue": 2,
+        "returning_revenue": 2,
+        "returning_revenue_share_pct": 2,
+    },
+    "business_health": {"gmv": 2, "weighted_aov": 2, "weighted_on_time_pct": 2},
+    "delivery_kpis": {"weighted_on_time_pct": 2, "weighted_delivery_days": 2},
+}
+
 SELLER_KEYS = ["seller_id", "seller_city", "seller_state"]
 
 
@@ -40,6 +74,11 @@ def _ascending(names: list[str]) -> list[Column]:
     return [F.asc_nulls_last(n) for n in names]
 
 
+def for_display(bundle: DataFrame, report: str) -> DataFrame:
+    """A bundle rounded the way it is shown."""
+    return rounded(bundle, DISPLAY_DIGITS[report])
+
+
 # Months -------------------------------------------------------------------------------
 
 

@@ -36,7 +36,8 @@ PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card"]
 ESTIMATED_DAYS = 45
 UNDELIVERED_QUANTITY = 50
 
-_PURCHASED = "o_orderdate + make_dt_interval(0, 0, 0, (o_orderkey * 7919) % 86400)"
+# Per order, before the join with its items.
+PURCHASED = "timestampadd(SECOND, cast((o_orderkey * 7919) % 86400 as int), o_orderdate)"
 _DELIVERED = f"l_quantity < {UNDELIVERED_QUANTITY}"
 _PRICE = "cast(l_extendedprice as decimal(12,2))"
 _TAX = "cast(l_tax as decimal(4,2))"
@@ -54,15 +55,15 @@ ITEM_EXPRESSIONS = {
     "product_id": "l_partkey",
     "seller_id": "l_suppkey",
     "order_status": _case("o_orderstatus", STATUS_OF_CODE),
-    "order_purchase_timestamp": _PURCHASED,
-    "order_approved_at": f"{_PURCHASED} + interval 1 hour",
-    "order_delivered_carrier_date": f"{_PURCHASED} + interval 1 day",
-    "order_delivered_customer_date": f"case when {_DELIVERED} then {_PURCHASED} + make_dt_interval(cast(l_quantity as int)) end",
-    "order_estimated_delivery_date": f"{_PURCHASED} + make_dt_interval({ESTIMATED_DAYS})",
-    "purchase_date": f"cast({_PURCHASED} as date)",
-    "purchase_year": f"year({_PURCHASED})",
-    "purchase_month": f"month({_PURCHASED})",
-    "purchase_ym": f"left(cast(cast({_PURCHASED} as date) as string), 7)",
+    "order_purchase_timestamp": "purchased",
+    "order_approved_at": f"purchased + interval 1 hour",
+    "order_delivered_carrier_date": f"purchased + interval 1 day",
+    "order_delivered_customer_date": f"case when {_DELIVERED} then timestampadd(DAY, cast(l_quantity as int), purchased) end",
+    "order_estimated_delivery_date": f"purchased + interval {ESTIMATED_DAYS} days",
+    "purchase_date": f"cast(purchased as date)",
+    "purchase_year": f"year(purchased)",
+    "purchase_month": f"month(purchased)",
+    "purchase_ym": f"left(cast(cast(purchased as date) as string), 7)",
     "price": _PRICE,
     "freight_value": f"cast({_PRICE} * {_TAX} as decimal(18,4))",
     "item_total": f"cast({_PRICE} * (1 + {_TAX}) as decimal(18,4))",
@@ -103,6 +104,7 @@ def order_items(spark: SparkSession, folder: str, columns: Iterable[str], status
     if status is not None:
         code = next(c for c, s in STATUS_OF_CODE.items() if s == status)
         orders = orders.where(F.col("o_orderstatus") == code)
+    orders = orders.withColumn("purchased", F.expr(PURCHASED)).drop("o_orderdate")
     lines = _table(spark, folder, "lineitem").withColumn("o_orderkey", F.col("l_orderkey"))
     spread = ["l_partkey", "l_suppkey", "l_linenumber"]
     joined = lookup_join(lines, orders, "o_orderkey", "inner", spread_by=spread)
