@@ -48,13 +48,17 @@ def fact(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     return order_fact(RetailStar(spark, folder, columns, DELIVERED), columns)
 
 
-def view(name: str) -> Query:
-    """The view as a DataFrame, reading only the columns it needs."""
+def view(name: str, customers_counted: bool = True) -> Query:
+    """The view as a DataFrame, reading only the columns it needs.
+
+    Reports that do not show a number of customers save the join with the customer table.
+    """
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         if name == PAYMENT_VIEW:
             return performance.payment_analysis(payments(spark, folder))
-        return VIEWS[name].build(fact(spark, folder, VIEWS[name].columns))
+        columns = [c for c in VIEWS[name].columns if customers_counted or c != performance.CUSTOMER]
+        return VIEWS[name].build(fact(spark, folder, columns))
 
     return run
 
@@ -68,8 +72,12 @@ states = view("vw_state_performance")
 split = view("vw_new_vs_returning")
 
 
+uncounted_products = view("vw_product_performance", customers_counted=False)
+
+
 def months(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.eligible_months(monthly(spark, folder), MIN_ORDERS)
+    uncounted = view("vw_monthly_kpis", customers_counted=False)
+    return reports.eligible_months(uncounted(spark, folder), MIN_ORDERS)
 
 
 def customer_total(spark: SparkSession, folder: str):
@@ -199,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "new_vs_returning": on(split, same),
     "payment_analysis": on(view(PAYMENT_VIEW), same),
     "data_quality": view("vw_data_quality"),
-    "eligible_months": on(months, same, 6),
+    "eligible_months": on(monthly, lambda m: reports.eligible_months(m, MIN_ORDERS), 6),
     "eligible_months_by_sql": monthly_by_sql,
     "gmv_mom_change": on(
         months,
@@ -225,8 +233,8 @@ QUERIES: dict[str, Query] = {
     "cohort_first6_curves": on(retention, reports.retention_curves),
     "cohort_matrix": on(retention, lambda r: reports.cohort_matrix(r, MATRIX_MONTHS)),
     "top_categories": on(products, reports.top_categories),
-    "leading_categories": on(products, reports.leading_categories),
-    "product_kpis": on(products, reports.product_kpis, 6),
+    "leading_categories": on(uncounted_products, reports.leading_categories),
+    "product_kpis": on(uncounted_products, reports.product_kpis, 6),
     "top_sellers": on(sellers, reports.top_sellers),
     "sellers_to_review": on(
         sellers, lambda s: reports.sellers_to_review(reports.flag_sellers(reports.top_sellers(s)))

@@ -63,6 +63,18 @@ def test_order_shared_by_two_customers_counts_for_the_greater(make_fact):
     assert dicts(performance.monthly_kpis(fact))[0]["unique_customers"] == 1
 
 
+def test_reports_without_customers_skip_their_join(make_star):
+    star = make_star([item(1)])
+    for name in ("vw_monthly_kpis", "vw_product_performance"):
+        view = VIEWS[name]
+        lean = view.build(order_fact(star, [c for c in view.columns if c != "customer_unique_id"]))
+        assert "Join" not in lean._jdf.queryExecution().optimizedPlan().toString()
+        full = view.build(order_fact(star, view.columns))
+        left_out = set(full.columns) - set(lean.columns)
+        assert left_out in ({"unique_customers"}, {"unique_buyers"})
+        assert lean.collect() == full.select(lean.columns).collect()
+
+
 def test_seller_share_counts_unknown_status_as_not_on_time(make_fact):
     fact = make_fact([item(1), item(2, delivery_status=None), item(3, seller_id=None)])
     rows = {r["seller_id"]: r for r in dicts(performance.seller_performance(fact))}

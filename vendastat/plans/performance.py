@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vendastat.functions.numeric import exact_mean, percent_of_rows
 
+CUSTOMER = "customer_unique_id"
 ON_TIME = "On Time"
 
 
@@ -14,15 +15,18 @@ def monthly_kpis(fact: DataFrame) -> DataFrame:
     """Order-grain KPIs per month.
 
     An order is on time if all its items with a known status are; an order without any known
-    status counts as late. Ratings and delivery days are means of order means.
+    status counts as late. Ratings and delivery days are means of order means. From a fact
+    without customers, ``unique_customers`` is left out; the customer table is then not needed.
     """
+    customer = [F.max(CUSTOMER).alias("customer")] if CUSTOMER in fact.columns else []
+    unique = [F.count_distinct("customer").alias("unique_customers")] if customer else []
     on_time = F.col("delivery_status") == ON_TIME
     # The maximum of a text column is aggregated by sorting; the order number first makes
     # that sort cheap, since it alone tells almost all groups apart.
     orders = fact.groupBy(
         "order_id", F.col("purchase_month_date").alias("purchase_month"), "year_month"
     ).agg(
-        F.max("customer_unique_id").alias("customer"),
+        *customer,
         F.sum("total_item_value").alias("value"),
         F.sum("price").alias("product"),
         F.sum("freight_value").alias("freight"),
@@ -32,7 +36,7 @@ def monthly_kpis(fact: DataFrame) -> DataFrame:
     )
     return orders.groupBy("purchase_month", "year_month").agg(
         F.count("*").alias("total_orders"),
-        F.count_distinct("customer").alias("unique_customers"),
+        *unique,
         F.sum("value").alias("gmv"),
         (F.sum("value").cast("double") / F.count("*")).alias("aov"),
         F.sum("product").alias("product_revenue"),
@@ -44,7 +48,11 @@ def monthly_kpis(fact: DataFrame) -> DataFrame:
 
 
 def product_performance(fact: DataFrame) -> DataFrame:
-    """Orders, items, revenue, freight, price, rating and buyers per category."""
+    """Orders, items, revenue, freight, price, rating and buyers per category.
+
+    From a fact without customers, ``unique_buyers`` is left out.
+    """
+    buyers = [F.count_distinct(CUSTOMER).alias("unique_buyers")] if CUSTOMER in fact.columns else []
     return (
         fact.where(F.col("product_category_english").isNotNull())
         .groupBy(F.col("product_category_english").alias("category"))
@@ -55,7 +63,7 @@ def product_performance(fact: DataFrame) -> DataFrame:
             F.sum("freight_value").alias("total_freight"),
             exact_mean(F.col("price")).alias("avg_price"),
             F.avg("review_score").alias("avg_rating"),
-            F.count_distinct("customer_unique_id").alias("unique_buyers"),
+            *buyers,
         )
     )
 

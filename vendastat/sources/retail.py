@@ -8,14 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendastat.operators.lookup import lookup_join
+from vendastat.operators.lookup import broadcast_limit, lookup_join
 from vendastat.plans.fact import RENAMED
 from vendastat.schemas import CUSTOMERS, ORDER_ITEMS, PAYMENTS, SELLERS, conform
 from vendastat.session import materialize, scan_bytes
 
-# Larger input is joined once and stored, because several passes over the items follow.
-STORE_ITEMS_BYTES = 4 * 1024**3
-
 SOURCE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -113,7 +110,8 @@ def order_items(spark: SparkSession, folder: str, columns: Iterable[str], status
         spread = ["l_orderkey", "l_linenumber"]
         joined = lookup_join(joined, parts, "l_partkey", spread_by=spread, counted=lines)
     items = joined.select(*[F.expr(ITEM_EXPRESSIONS[c]).alias(c) for c in columns])
-    return materialize(items, "items") if scan_bytes(items) > STORE_ITEMS_BYTES else items
+    # After a shuffle join the items are stored: several passes over them follow.
+    return items if scan_bytes(orders) <= broadcast_limit(spark) else materialize(items, "items")
 
 
 def customers(spark: SparkSession, folder: str, columns: Iterable[str] = CUSTOMERS.fieldNames()) -> DataFrame:
