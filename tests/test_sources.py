@@ -58,6 +58,21 @@ def test_views_share_a_stored_fact(spark, star, tmp_path):
         spark.catalog.dropTempView(name)
 
 
+def test_stored_fact_has_few_files_and_splits_large_months(spark, star, tmp_path):
+    fact = order_fact(star, ["order_id", "purchase_month_date", "price"]).repartition(16)
+    save_fact(fact, f"{tmp_path}/few")
+    months = len(list(Path(f"{tmp_path}/few").glob("purchase_month_date=*")))
+    assert months == len(list(Path(f"{tmp_path}/few").glob("*/part-*"))) == 79
+    hot = fact.withColumn("purchase_month_date", F.lit(dt.date(2020, 1, 1)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        save_fact(hot, f"{tmp_path}/hot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(f"{tmp_path}/hot").glob("*/part-*"))) > 3
+    assert spark.read.parquet(f"{tmp_path}/hot").count() == 19856
+
+
 def test_inventory_counts_rows(spark):
     got = table_inventory({"a": spark.range(3), "b": spark.range(0)})
     assert sorted(tuple(r) for r in got.collect()) == [("a", 3), ("b", 0)]

@@ -40,7 +40,8 @@ def json_payload(df: DataFrame, name: str = "payload") -> DataFrame:
 def save_fact(fact: DataFrame, path: str) -> None:
     """The order fact as Parquet, one folder per month, so that month filters skip files.
 
-    Rows go to the month's folder from wherever they are: no shuffle, and no single task
-    per month.
+    Rows are gathered by month first, so that not every task writes a file into every
+    folder. Rebalancing splits large months and merges small ones to the advisory size.
     """
-    fact.write.partitionBy("purchase_month_date").parquet(path)
+    month = "purchase_month_date"
+    fact.hint("rebalance", F.col(month)).write.partitionBy(month).parquet(path)
