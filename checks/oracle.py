@@ -7,8 +7,9 @@ result, over the same mapping of the generic tables to the star schema.
 from __future__ import annotations
 
 from checks.brief_documents import BRIEF_DOCUMENT
-from checks.queries import INPUT_TABLES, MATRIX_MONTHS, MIN_ORDERS, SAMPLE_SEED, SAMPLE_SIZE
+from checks.queries import INPUT_TABLES, MATRIX_MONTHS, MIN_ORDERS
 from vendastat.plans.briefs import ACTIONS, DEFAULT_CAVEAT, FINDINGS, REQUIRED_KEYS, STATUSES, TITLE
+from vendastat.plans.dashboard import SAMPLE_SEED, SAMPLE_SIZE
 
 # Building blocks: name -> SQL. A query pulls in the blocks it names, in this order.
 BLOCKS = {

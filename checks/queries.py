@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from checks.brief_documents import BRIEF_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
-from vendastat.operators.sampling import fixed_sample
-from vendastat.plans import briefs, customers, performance, reports
-from vendastat.plans.catalog import PAYMENT_VIEW, VIEWS, register_views
-from vendastat.plans.fact import DELIVERED, order_fact
+from vendastat.plans import briefs, customers, reports
+from vendastat.plans.catalog import VIEWS, build_view, register_views
+from vendastat.plans.dashboard import REPORTS, build_report
+from vendastat.plans.fact import DELIVERED
 from vendastat.sources.retail import RetailStar, payments
 from vendastat.sources.sinks import json_payload
 from vendastat.sources.tables import run_query, table_inventory
@@ -28,7 +28,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 MIN_ORDERS = 60
 # The data covers 80 months, so month numbers run from 0 to 79.
 MATRIX_MONTHS = 79
-SAMPLE_SIZE, SAMPLE_SEED = 3000, 42
 INPUT_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -44,74 +43,40 @@ def comparable(df: DataFrame, digits: int | None = None) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in decimals}) if decimals else df
 
 
-def fact(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    return order_fact(RetailStar(spark, folder, columns, DELIVERED), columns)
+def star(spark: SparkSession, folder: str) -> RetailStar:
+    return RetailStar(spark, folder, DELIVERED)
 
 
-def view(name: str, customers_counted: bool = True) -> Query:
-    """The view as a DataFrame, reading only the columns it needs.
+def view(name: str, digits: int | None = None) -> Query:
+    return lambda spark, folder: comparable(build_view(name, star(spark, folder)), digits)
 
-    Reports that do not show a number of customers save the join with the customer table.
-    """
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        if name == PAYMENT_VIEW:
-            return performance.payment_analysis(payments(spark, folder))
-        columns = [c for c in VIEWS[name].columns if customers_counted or c != performance.CUSTOMER]
-        return VIEWS[name].build(fact(spark, folder, columns))
-
-    return run
-
-
-monthly = view("vw_monthly_kpis")
-rfm = view("vw_rfm_segments")
-retention = view("vw_cohort_retention")
-products = view("vw_product_performance")
-sellers = view("vw_seller_performance")
-states = view("vw_state_performance")
-split = view("vw_new_vs_returning")
 
+def report(name: str, digits: int | None = None) -> Query:
+    return lambda spark, folder: comparable(build_report(name, star(spark, folder), MIN_ORDERS), digits)
 
-uncounted_products = view("vw_product_performance", customers_counted=False)
 
+def display(name: str) -> Query:
+    """A bundle rounded the way it is shown."""
 
-def months(spark: SparkSession, folder: str) -> DataFrame:
-    uncounted = view("vw_monthly_kpis", customers_counted=False)
-    return reports.eligible_months(uncounted(spark, folder), MIN_ORDERS)
-
-
-def customer_total(spark: SparkSession, folder: str):
-    return customers.customer_count(RetailStar(spark, folder, ["customer_unique_id"], DELIVERED))
-
-
-def on(source: Query, report: Callable[[DataFrame], DataFrame], digits: int | None = None) -> Query:
-    return lambda spark, folder: comparable(report(source(spark, folder)), digits)
-
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        bundle = build_report(name, star(spark, folder), MIN_ORDERS)
+        return comparable(reports.for_display(bundle, name))
 
-def same(df: DataFrame) -> DataFrame:
-    return df
+    return run
 
 
 def rfm_distributed(high_is_good: bool) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        metrics = view("vw_customer_metrics")(spark, folder)
+        metrics = build_view("vw_customer_metrics", star(spark, folder))
         # A small sample, so that the search also takes several rounds on small data.
         return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True, sample_rows=300))
 
     return run
 
 
-def executive_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.executive_kpis(months(spark, folder), customer_total(spark, folder), MIN_ORDERS)
-
-
-def health(spark: SparkSession, folder: str) -> DataFrame:
-    return comparable(reports.business_health(months(spark, folder), customer_total(spark, folder)), 6)
-
-
 def monthly_by_sql(spark: SparkSession, folder: str) -> DataFrame:
     """Registered views queried as SQL text with a bound parameter."""
-    register_views(spark, RetailStar(spark, folder, status=DELIVERED))
+    register_views(spark, star(spark, folder), names=["vw_monthly_kpis"])
     query = "SELECT * FROM vw_monthly_kpis WHERE total_orders >= :min_orders ORDER BY purchase_month"
     return comparable(run_query(spark, query, {"min_orders": MIN_ORDERS}), 6)
 
@@ -132,7 +97,7 @@ def payments_as_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def on_time_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The same figure stored as a 0-1 share and as a percentage."""
-    frame = sellers(spark, folder).select(
+    frame = build_view("vw_seller_performance", star(spark, folder)).select(
         "seller_id", F.col("on_time_pct").alias("from_pct"), (F.col("on_time_pct") / 100).alias("from_share")
     )
     return comparable(normalize_percent(frame, "from_pct", "from_share"), 6)
@@ -140,7 +105,7 @@ def on_time_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def rfm_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """The per-segment maps as JSON text, since map columns cannot be compared."""
-    bundle = reports.rfm_kpis(reports.segment_summary(rfm(spark, folder)))
+    bundle = build_report("rfm_kpis", star(spark, folder))
     return comparable(
         bundle.withColumns({
             "segment_customer_counts": F.to_json("segment_customer_counts"),
@@ -155,7 +120,8 @@ def rfm_bundle(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One brief document per seller, some of them with planted defects."""
-    return sellers(spark, folder).select("seller_id", F.expr(BRIEF_DOCUMENT).alias("document"))
+    sellers = build_view("vw_seller_performance", star(spark, folder))
+    return sellers.select("seller_id", F.expr(BRIEF_DOCUMENT).alias("document"))
 
 
 def validated(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,60 +156,33 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def state_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return json_payload(states(spark, folder).select("customer_state", "orders", "customers", "gmv"))
+    states = build_view("vw_state_performance", star(spark, folder))
+    return json_payload(states.select("customer_state", "orders", "customers", "gmv"))
+
 
+def matrix(spark: SparkSession, folder: str) -> DataFrame:
+    retention = build_view("vw_cohort_retention", star(spark, folder))
+    return comparable(reports.cohort_matrix(retention, MATRIX_MONTHS))
+
+
+# Reports with means of inexact values.
+INEXACT = {
+    "eligible_months", "gmv_mom_change", "executive_kpis", "business_health", "delivery_kpis",
+    "status_by_month", "rfm_segment_summary", "product_kpis", "seller_kpis", "geo_kpis",
+    "new_returning_kpis", "returning_share_by_month",
+}
 
 QUERIES: dict[str, Query] = {
-    "order_fact": on(view("vw_order_fact"), same),
-    "customer_metrics": on(view("vw_customer_metrics"), same),
-    "rfm_segments": on(rfm, same),
+    **{name.removeprefix("vw_"): view(name, 6 if name == "vw_monthly_kpis" else None) for name in VIEWS},
+    "payment_analysis": view("vw_payment_analysis"),
     "rfm_segments_distributed": rfm_distributed(high_is_good=False),
     "rfm_segments_high_is_good": rfm_distributed(high_is_good=True),
-    "cohort_retention": on(retention, same),
-    "monthly_kpis": on(monthly, same, 6),
-    "product_performance": on(products, same),
-    "seller_performance": on(sellers, same),
-    "state_performance": on(states, same),
-    "new_vs_returning": on(split, same),
-    "payment_analysis": on(view(PAYMENT_VIEW), same),
-    "data_quality": view("vw_data_quality"),
-    "eligible_months": on(monthly, lambda m: reports.eligible_months(m, MIN_ORDERS), 6),
-    "eligible_months_by_sql": monthly_by_sql,
-    "gmv_mom_change": on(
-        months,
-        lambda m: reports.gmv_change(m).select(
-            "purchase_month", "year_month", "gmv", "previous_gmv", "gmv_change_pct"
-        ),
-        6,
-    ),
-    "executive_kpis": on(executive_bundle, same, 6),
-    "executive_display": on(executive_bundle, lambda b: reports.for_display(b, "executive_kpis")),
-    "new_returning_display": on(
-        split, lambda s: reports.for_display(reports.new_returning_kpis(s), "new_returning_kpis")
-    ),
-    "business_health": health,
-    "delivery_kpis": on(months, reports.delivery_kpis, 6),
-    "status_by_month": on(months, reports.status_by_month, 6),
-    "rfm_segment_summary": on(rfm, reports.segment_summary, 6),
-    "rfm_segment_map": on(rfm, reports.segment_map),
-    "rfm_segment_revenue": on(rfm, reports.segment_revenue),
+    **{name: report(name, 6 if name in INEXACT else None) for name in REPORTS},
     "rfm_kpis": rfm_bundle,
-    "rfm_sample": on(rfm, lambda r: fixed_sample(r, "customer_unique_id", SAMPLE_SIZE, SAMPLE_SEED)),
-    "retention_m1_m3": on(retention, reports.retention_kpis),
-    "cohort_first6_curves": on(retention, reports.retention_curves),
-    "cohort_matrix": on(retention, lambda r: reports.cohort_matrix(r, MATRIX_MONTHS)),
-    "top_categories": on(products, reports.top_categories),
-    "leading_categories": on(uncounted_products, reports.leading_categories),
-    "product_kpis": on(uncounted_products, reports.product_kpis, 6),
-    "top_sellers": on(sellers, reports.top_sellers),
-    "sellers_to_review": on(
-        sellers, lambda s: reports.sellers_to_review(reports.flag_sellers(reports.top_sellers(s)))
-    ),
-    "seller_kpis": on(sellers, reports.seller_kpis, 6),
-    "status_by_seller": on(sellers, reports.status_by_seller),
-    "geo_kpis": on(states, reports.geo_kpis, 6),
-    "new_returning_kpis": on(split, reports.new_returning_kpis, 6),
-    "returning_share_by_month": on(split, reports.returning_share_by_month, 6),
+    "cohort_matrix": matrix,
+    "executive_display": display("executive_kpis"),
+    "new_returning_display": display("new_returning_kpis"),
+    "eligible_months_by_sql": monthly_by_sql,
     "percent_normalize": on_time_shares,
     "numeric_coercion": payments_as_text,
     "state_payload_json": state_payload,

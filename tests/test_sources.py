@@ -110,7 +110,7 @@ def test_materialized_table_is_in_the_shared_folder(spark):
 
 def test_scan_reads_only_the_columns_a_view_needs(spark):
     columns = VIEWS["vw_seller_performance"].columns
-    fact = order_fact(RetailStar(spark, str(DATA), columns, "delivered"), columns)
+    fact = order_fact(RetailStar(spark, str(DATA), "delivered"), columns)
     plan = VIEWS["vw_seller_performance"].build(fact)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan
     assert "customer.parquet" not in plan and "part.parquet" not in plan

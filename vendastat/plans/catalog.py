@@ -65,25 +65,34 @@ VIEWS = {
 PAYMENT_VIEW = "vw_payment_analysis"
 
 
-def build_view(name: str, star: StarSchema) -> DataFrame:
-    """A view from the star schema, joining and reading only what it needs."""
+def build_view(name: str, star: StarSchema, count_customers: bool = True) -> DataFrame:
+    """A view from the star schema, joining and reading only what it needs.
+
+    Without ``count_customers``, the monthly and category views leave out their number of
+    customers and with it the join with the customer table.
+    """
     if name == PAYMENT_VIEW:
         return performance.payment_analysis(star.payments)
     view = VIEWS[name]
-    return view.build(order_fact(star, view.columns))
+    columns = [c for c in view.columns if count_customers or c != performance.CUSTOMER]
+    return view.build(order_fact(star, columns))
 
 
-def register_views(spark: SparkSession, star: StarSchema, fact: DataFrame | None = None) -> list[str]:
-    """Register all views for SQL, and return their names.
+def register_views(
+    spark: SparkSession, star: StarSchema, fact: DataFrame | None = None, names: list[str] | None = None
+) -> list[str]:
+    """Register the named views (default: all) for SQL, and return their names.
 
     With ``fact`` (a stored or cached order fact) the views share it; otherwise each one
-    reads the star schema itself.
+    reads the star schema itself. On large input the RFM view searches its tile cuts here,
+    so name only the views that are wanted.
     """
-    for name, view in VIEWS.items():
-        df = build_view(name, star) if fact is None else view.build(fact)
+    names = names or [*VIEWS, PAYMENT_VIEW]
+    for name in names:
+        shared = fact is not None and name != PAYMENT_VIEW
+        df = VIEWS[name].build(fact) if shared else build_view(name, star)
         df.createOrReplaceTempView(name)
-    build_view(PAYMENT_VIEW, star).createOrReplaceTempView(PAYMENT_VIEW)
-    return [*VIEWS, PAYMENT_VIEW]
+    return names
 
 
 def cache_views(spark: SparkSession, names: list[str]) -> None:
@@ -92,8 +101,10 @@ def cache_views(spark: SparkSession, names: list[str]) -> None:
         spark.sql(f"CACHE LAZY TABLE {name} OPTIONS ('storageLevel' 'MEMORY_AND_DISK')")
 
 
-def refresh_views(spark: SparkSession, star: StarSchema, fact: DataFrame | None = None) -> list[str]:
+def refresh_views(
+    spark: SparkSession, star: StarSchema, fact: DataFrame | None = None, names: list[str] | None = None
+) -> list[str]:
     """Drop kept results and define the views anew over freshly read tables."""
-    for name in [*VIEWS, PAYMENT_VIEW]:
+    for name in names or [*VIEWS, PAYMENT_VIEW]:
         spark.sql(f"UNCACHE TABLE IF EXISTS {name}")
-    return register_views(spark, star, fact)
+    return register_views(spark, star, fact, names)

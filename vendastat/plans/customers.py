@@ -47,6 +47,7 @@ def customer_count(star: StarSchema) -> Column:
 
     Items are reduced to one row per account before they meet the customer table.
     """
+    star = star.narrowed([CUSTOMER])
     accounts = star.items.where(F.col("order_status") == DELIVERED).select("customer_id").distinct()
     known = star.customers.select("customer_id", CUSTOMER)
     return lookup_join(accounts, known, "customer_id", "inner").agg(F.count_distinct(CUSTOMER)).scalar()

@@ -73,6 +73,8 @@ def order_fact(star: StarSchema, columns: Iterable[str] | None = None) -> DataFr
     columns is wanted. Dimension keys must be unique (see ``schemas.duplicate_keys``).
     """
     wanted = [c for c in FACT_COLUMNS if columns is None or c in set(columns)]
+    if columns is not None:
+        star = star.narrowed(wanted)
     of_customer = [c for c in wanted if c in CUSTOMER_COLUMNS]
     of_seller = [c for c in wanted if c in SELLER_COLUMNS]
     of_item = [c for c in wanted if c not in CUSTOMER_COLUMNS + SELLER_COLUMNS]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,10 @@ class StarSchema:
     sellers: DataFrame
     payments: DataFrame
 
+    def narrowed(self, fact_columns: Iterable[str]) -> StarSchema:
+        """The tables as needed for an order fact of these columns; stored tables need no change."""
+        return self
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` reduced to the declared columns; raises if a column is missing or mistyped."""

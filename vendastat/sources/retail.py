@@ -146,16 +146,19 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
 class RetailStar:
     """The four tables of a ``StarSchema``, each built when first asked for.
 
-    With ``fact_columns``, items and customers hold only what an order fact of those columns
-    needs; ``status`` limits the items to orders of that status.
+    ``status`` limits the items to orders of that status. With ``fact_columns``, items and
+    customers hold only what an order fact of those columns needs.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, fact_columns: Iterable[str] | None = None, status: str | None = None
+        self, spark: SparkSession, folder: str, status: str | None = None, fact_columns: Iterable[str] | None = None
     ):
         self.spark, self.folder, self.status = spark, folder, status
         self.fact_columns = None if fact_columns is None else list(fact_columns)
 
+    def narrowed(self, fact_columns: Iterable[str]) -> RetailStar:
+        return RetailStar(self.spark, self.folder, self.status, fact_columns)
+
     @cached_property
     def items(self) -> DataFrame:
         if self.fact_columns is None:
