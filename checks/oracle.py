@@ -319,7 +319,7 @@ ORACLE_SQL: dict[str, str] = {
                          {_WEIGHTED_ON_TIME} AS weighted_on_time_pct,
                          max(year_month) AS latest_eligible_month,
                          arg_max({_CHANGE}, purchase_month) AS latest_vs_previous_gmv_pct
-                  FROM ({_GMV_SERIES}))""",
+                  FROM ({_GMV_SERIES})) WHERE eligible_months > 0""",
     ),
     "business_health": _with(
         ["eligible"],

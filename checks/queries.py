@@ -147,7 +147,7 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
         "seller_id",
         brief["status"].alias("status"),
         brief["headline"].alias("headline"),
-        F.size(brief["findings"]).cast("bigint").alias("findings"),
+        F.array_size(brief["findings"]).cast("bigint").alias("findings"),
         F.array_join(brief["risks"], "|").alias("risks"),
         F.array_join(
             F.transform(briefs.actions_by_priority(brief["actions"]), lambda a: a["action"]), "|"

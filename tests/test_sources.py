@@ -4,7 +4,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
-from conftest import DATA, dicts, item
+from conftest import DATA, item
 from pyspark.sql import functions as F
 
 from vendastat.plans.catalog import VIEWS, cache_views, refresh_views, register_views

@@ -18,7 +18,9 @@ from vendastat.session import scan_bytes
 # A key is hot if it holds more than this share of all rows; so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 1 / 2000
 # Keys are first counted in this many groups, to look closer at the few that can hold a hot key.
-KEY_GROUPS = 1 << 16
+# More groups than 1/HOT_SHARE, so that evenly filled ones stay below it; few enough that the
+# counters of all scan tasks together stay small.
+KEY_GROUPS = 1 << 13
 
 
 def broadcast_limit(spark: SparkSession) -> int:

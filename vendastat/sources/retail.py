@@ -53,14 +53,14 @@ ITEM_EXPRESSIONS = {
     "seller_id": "l_suppkey",
     "order_status": _case("o_orderstatus", STATUS_OF_CODE),
     "order_purchase_timestamp": "purchased",
-    "order_approved_at": f"purchased + interval 1 hour",
-    "order_delivered_carrier_date": f"purchased + interval 1 day",
+    "order_approved_at": "purchased + interval 1 hour",
+    "order_delivered_carrier_date": "purchased + interval 1 day",
     "order_delivered_customer_date": f"case when {_DELIVERED} then timestampadd(DAY, cast(l_quantity as int), purchased) end",
     "order_estimated_delivery_date": f"purchased + interval {ESTIMATED_DAYS} days",
-    "purchase_date": f"cast(purchased as date)",
-    "purchase_year": f"year(purchased)",
-    "purchase_month": f"month(purchased)",
-    "purchase_ym": f"left(cast(cast(purchased as date) as string), 7)",
+    "purchase_date": "cast(purchased as date)",
+    "purchase_year": "year(purchased)",
+    "purchase_month": "month(purchased)",
+    "purchase_ym": "left(cast(cast(purchased as date) as string), 7)",
     "price": _PRICE,
     "freight_value": f"cast({_PRICE} * {_TAX} as decimal(18,4))",
     "item_total": f"cast({_PRICE} * (1 + {_TAX}) as decimal(18,4))",
@@ -115,6 +115,7 @@ def order_items(spark: SparkSession, folder: str, columns: Iterable[str], status
 
 
 def customers(spark: SparkSession, folder: str, columns: Iterable[str] = CUSTOMERS.fieldNames()) -> DataFrame:
+    # By the mapping some accounts are unknown, so that items without a customer occur.
     known = _table(spark, folder, "customer").where("c_custkey % 50 <> 0")
     if "customer_state" in columns:
         nations = _table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
@@ -126,6 +127,7 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
     nations = _table(spark, folder, "nation")
     regions = _table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     places = lookup_join(nations, regions, "n_regionkey").withColumnRenamed("n_nationkey", "s_nationkey")
+    # Likewise some sellers.
     known = _table(spark, folder, "supplier").where("s_suppkey % 25 <> 0")
     return lookup_join(known, places, "s_nationkey").select(
         F.col("s_suppkey").alias("seller_id"),
