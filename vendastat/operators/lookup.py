@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendastat.session import scan_bytes
+from vendastat.session import materialize, scan_bytes
 
 # A key is hot if it holds more than this share of all rows; so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 1 / 2000
@@ -28,6 +28,11 @@ def broadcast_limit(spark: SparkSession) -> int:
     return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
+def is_joined(df: DataFrame) -> bool:
+    """Whether ``df`` is made from more than one table."""
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size() > 1
+
+
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list[tuple[object, int]]:
     """Keys (NULL included) holding more than ``share`` of all rows, each with its number of salts.
 
@@ -75,7 +80,11 @@ def lookup_join(
     spark = rows.sparkSession
     if scan_bytes(lookup) <= broadcast_limit(spark):
         return rows.join(F.broadcast(lookup), key, how)
-    salts = dict(hot_keys(rows if counted is None else counted, key, share))
+    if counted is None:
+        # Counting takes two passes; the result of an earlier join is stored first.
+        rows = materialize(rows, "joined") if is_joined(rows) else rows
+        counted = rows
+    salts = dict(hot_keys(counted, key, share))
     null_salts = salts.pop(None, 1)
     if not salts and (how == "inner" or null_salts == 1):
         return rows.join(lookup, key, how)

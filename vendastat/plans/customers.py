@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vendastat.functions.dates import months_between_starts, whole_days
 from vendastat.functions.numeric import exact_mean
 from vendastat.functions.rules import rfm_segment
-from vendastat.operators.lookup import lookup_join
 from vendastat.operators.tiles import SAMPLE_ROWS, global_ntile
 from vendastat.plans.fact import DELIVERED
 from vendastat.schemas import StarSchema
@@ -50,7 +49,7 @@ def customer_count(star: StarSchema) -> Column:
     star = star.narrowed([CUSTOMER])
     accounts = star.items.where(F.col("order_status") == DELIVERED).select("customer_id").distinct()
     known = star.customers.select("customer_id", CUSTOMER)
-    return lookup_join(accounts, known, "customer_id", "inner").agg(F.count_distinct(CUSTOMER)).scalar()
+    return accounts.join(known, "customer_id").agg(F.count_distinct(CUSTOMER)).scalar()
 
 
 def rfm_segments(

@@ -78,8 +78,9 @@ def order_fact(star: StarSchema, columns: Iterable[str] | None = None) -> DataFr
     of_customer = [c for c in wanted if c in CUSTOMER_COLUMNS]
     of_seller = [c for c in wanted if c in SELLER_COLUMNS]
     of_item = [c for c in wanted if c not in CUSTOMER_COLUMNS + SELLER_COLUMNS]
-    # Columns the joins may need; unread ones are pruned from the scan.
-    of_item += [k for k in [*ITEM_KEY, "customer_id", "seller_id"] if k not in of_item]
+    # Columns the joins may need besides.
+    keys = ["customer_id"] * bool(of_customer) + ["seller_id"] * bool(of_seller)
+    of_item += [k for k in [*ITEM_KEY, *keys] if keys and k not in of_item]
 
     fact = star.items.where(F.col("order_status") == DELIVERED).select([_item_column(c) for c in of_item])
     if of_customer:
