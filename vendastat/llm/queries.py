@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert_sharding, mixing, secret_scan, url_filter
+from . import exact_dedup, hilbert_sharding, mixing, packing, secret_scan, url_filter
+
+#: The tokenizer of the packing query; a parameter of the operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +50,20 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER)
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     judged = url_filter.judge_urls(table(spark, folder, "pages"))
@@ -64,6 +82,7 @@ QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_water_filling_mix": op3_water_filling_mix,
     "op4_secret_scan": op4_secret_scan,
+    "op6_curve_packing": op6_curve_packing,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
