@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert_sharding, mixing, packing, secret_scan, url_filter
+from . import embedding_dedup, exact_dedup, hilbert_sharding, mixing, packing, secret_scan, url_filter
 
 #: The tokenizer of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,12 @@ def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pigeonhole_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among the embeddings of each label."""
+    found = embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     judged = url_filter.judge_urls(table(spark, folder, "pages"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_water_filling_mix": op3_water_filling_mix,
     "op4_secret_scan": op4_secret_scan,
     "op6_curve_packing": op6_curve_packing,
+    "op7_pigeonhole_join": op7_pigeonhole_join,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
