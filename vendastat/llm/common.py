@@ -52,3 +52,19 @@ def global_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame
         .withColumn("position", (F.col("shift") + F.col("inside")).cast("long"))
         .drop("part_no", "inside", "shift")
     )
+
+
+def matching_rows(docs: DataFrame, stays: DataFrame, id_col: str, hash_of_text: Column) -> DataFrame:
+    """Rows of ``docs`` named by ``stays`` (id, hash, rows), each once, columns as they are.
+
+    ``rows`` says how often a row is there; only repeated ones take a second step.
+    """
+    stays = stays.select(
+        F.col("id").alias("__vs_id"), F.col("hash").alias("__vs_hash"), F.col("rows").alias("__vs_rows")
+    )
+    found = docs.withColumn("__vs_own", hash_of_text).join(
+        stays, (F.col("__vs_own") == F.col("__vs_hash")) & F.col(id_col).eqNullSafe(F.col("__vs_id"))
+    )
+    order = Window.partitionBy("__vs_hash", "__vs_id").orderBy("__vs_rows")
+    repeated = found.where("__vs_rows > 1").withColumn("__vs_nth", F.row_number().over(order)).where("__vs_nth = 1")
+    return found.where("__vs_rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))

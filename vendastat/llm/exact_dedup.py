@@ -12,10 +12,10 @@ text are not read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import matching_rows, store, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,14 +107,7 @@ def drop_copies(
     that stays is repeated as a whole are its repetitions dropped in a second step.
     """
     groups = exact_groups(docs, id_col, text_col, keep, normalise)
-    stays = groups.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("id", "text_sha256").agg(
-        F.count("*").alias("__vs_rows")
-    )
-    stays = stays.select(F.col("id").alias("__vs_id"), F.col("text_sha256").alias("__vs_sha"), "__vs_rows")
+    stays = groups.where(F.col("id").eqNullSafe(F.col("keep_id")))
+    stays = stays.groupBy("id", F.col("text_sha256").alias("hash")).agg(F.count("*").alias("rows"))
     sha = F.sha2(F.encode(normalise(text_or_empty(text_col)), "UTF-8"), 256)
-    found = docs.withColumn("__vs_text_sha", sha).join(
-        stays, (F.col("__vs_text_sha") == F.col("__vs_sha")) & F.col(id_col).eqNullSafe(F.col("__vs_id"))
-    )
-    order = Window.partitionBy("__vs_sha", "__vs_id").orderBy(text_col)
-    repeated = found.where("__vs_rows > 1").withColumn("__vs_nth", F.row_number().over(order)).where("__vs_nth = 1")
-    return found.where("__vs_rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return matching_rows(docs, stays, id_col, sha)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, hilbert_sharding, mixing, packing, secret_scan, url_filter
+from . import embedding_dedup, exact_dedup, hilbert_sharding, language_id, mixing, order_minhash, packing, secret_scan, url_filter
 
 #: The tokenizer of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near copies that each document is in."""
+    classes = order_minhash.near_duplicate_classes(table(spark, folder, "documents"))
+    return classes.select(
+        F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+    )
+
+
 def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in one of 24 shards of equal row counts along a Hilbert curve."""
     rows = hilbert_sharding.assign_shards(table(spark, folder, "documents"))
@@ -70,6 +78,12 @@ def op7_pigeonhole_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    found = language_id.identify(table(spark, folder, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     judged = url_filter.judge_urls(table(spark, folder, "pages"))
@@ -85,11 +99,13 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_water_filling_mix": op3_water_filling_mix,
     "op4_secret_scan": op4_secret_scan,
     "op6_curve_packing": op6_curve_packing,
     "op7_pigeonhole_join": op7_pigeonhole_join,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
