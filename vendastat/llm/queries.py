@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, hilbert_sharding, language_id, mixing, order_minhash, packing, secret_scan, url_filter
+from . import backoff_lm, embedding_dedup, exact_dedup, hilbert_sharding, language_id, mixing, order_minhash, packing, secret_scan, url_filter
 
 #: The tokenizer of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,17 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The language model score of every document under the counts of all."""
+    scored = backoff_lm.score_documents(table(spark, folder, "documents"))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.round("log_score", 4).alias("log_score"),
+        F.round(F.col("log_score") / F.col("n_words"), 4).alias("mean_log_score"),
+    )
+
+
 def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER)
@@ -103,6 +114,7 @@ QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_water_filling_mix": op3_water_filling_mix,
     "op4_secret_scan": op4_secret_scan,
+    "op5_backoff_scores": op5_backoff_scores,
     "op6_curve_packing": op6_curve_packing,
     "op7_pigeonhole_join": op7_pigeonhole_join,
     "op8_language_id": op8_language_id,
@@ -111,6 +123,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_backoff_scores": r"""
+        WITH t AS (
+            SELECT doc_id, ['<s>'] || list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') || ['</s>'] AS words
+            FROM documents),
+        bigrams AS (
+            SELECT doc_id, words[i] AS v, words[i + 1] AS w
+            FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM t)),
+        pairs AS (SELECT v, w, count(*) AS n FROM bigrams GROUP BY v, w),
+        firsts AS (SELECT v, count(*) AS n FROM bigrams GROUP BY v),
+        lasts AS (SELECT w, count(*) AS n FROM bigrams GROUP BY w),
+        total AS (SELECT count(*) AS n FROM bigrams),
+        scored AS (
+            SELECT b.doc_id, CASE WHEN p.n >= 2 THEN ln(p.n / f.n) ELSE ln(0.4 * l.n / total.n) END AS s
+            FROM bigrams b JOIN pairs p USING (v, w) JOIN firsts f USING (v) JOIN lasts l USING (w) CROSS JOIN total)
+        SELECT doc_id, count(*) AS n_words, round(sum(s), 4) AS log_score, round(sum(s) / count(*), 4) AS mean_log_score
+        FROM scored GROUP BY doc_id
+    """,
     "op9_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
