@@ -68,3 +68,20 @@ def matching_rows(docs: DataFrame, stays: DataFrame, id_col: str, hash_of_text:
     order = Window.partitionBy("__vs_hash", "__vs_id").orderBy("__vs_rows")
     repeated = found.where("__vs_rows > 1").withColumn("__vs_nth", F.row_number().over(order)).where("__vs_nth = 1")
     return found.where("__vs_rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+
+
+#: Bits of the filter below: a table of 131,072 words at most.
+FILTER_BITS = 1 << 23
+
+
+def possible_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, to spare a join's shuffle.
+
+    A hashed bitmap of fixed size is broadcast. The more keys are wanted, the fewer rows it
+    keeps out; it never keeps out one that is wanted.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
+    bitmap = wanted.groupBy(word.alias("__vs_word")).agg(F.bit_or(mask).alias("__vs_bits"))
+    found = rows.join(F.broadcast(bitmap), word == F.col("__vs_word"))
+    return found.where(F.col("__vs_bits").bitwiseAND(mask) != 0).select(*rows.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import WordHasher, mix, segments, word_grams
-from .common import matching_rows, store, text_or_empty
+from .common import matching_rows, partitions, possible_rows, store, text_or_empty
 from .components import components
 from .embedding_dedup import join_roots
 
@@ -252,7 +252,7 @@ def _all_kmers(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
     """(rep, kmers) of the texts ``wanted``, one row each."""
     chosen = classes.select("rep", "hash").join(wanted, "rep", "left_semi")
     chosen = store(chosen.select("hash", F.col("rep").alias("id")), "wanted")
-    found = texts.join(chosen, ["id", "hash"]).select("id", "text")
+    found = possible_rows(texts, chosen, "id").join(chosen, ["id", "hash"]).select("id", "text")
     kind = found.schema["id"].dataType.simpleString()
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,7 +330,8 @@ def in_tiles(members: DataFrame, size: str, tile_members: int) -> DataFrame:
     """Members with the parts of their bucket that each meets: all parts meet each other once.
 
     ``side`` is 1 and 2 where a tile compares two parts, 0 where it compares one with itself.
-    A bucket within the size is one tile, in which every row is on both sides.
+    A bucket within the size is one tile, in which every row is on both sides. Rows are few
+    and work on them is much, so they are dealt out to all partitions whatever their size.
     """
     parts = F.ceil(F.col(size) / tile_members).cast("int")
     own = F.expr("cast(pmod(xxhash64(rep), parts_) as int)")
@@ -342,7 +343,7 @@ def in_tiles(members: DataFrame, size: str, tile_members: int) -> DataFrame:
         F.least("own_", "other_").alias("first_part"),
         F.greatest("own_", "other_").alias("second_part"),
         side.alias("side"),
-    )
+    ).repartition(partitions(members.sparkSession), "bucket", "first_part", "second_part")
 
 
 def alike_sets(sequences: list[np.ndarray], start: np.ndarray, similarity: float) -> np.ndarray:
