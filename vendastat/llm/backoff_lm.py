@@ -16,7 +16,7 @@ bigrams that made them, and each chunk gets back one sum per document. Bigrams t
 go on to the partition of their last word, to meet the table of word counts.
 
 Skew: bigrams are partitioned by their first word, so that c(v) is there, too. Words that hold
-more than a share of all words are known from the word counts, at most ``4 * partitions`` of
+more than a share of all words are known from the word counts, at most ``4 * buckets`` of
 them, and travel to every task with their counts; their bigrams are spread by the second word.
 Bigrams of two such words that hold as much are counted in a pass of their own, combined inside
 each task, and scored where they are read. So no partition gets more than a few shares.
@@ -45,8 +45,10 @@ BACKOFF, MIN_COUNT = 0.4, 2
 ID_BYTES = 6
 ID_MASK = np.uint64((1 << (8 * ID_BYTES)) - 1)
 START, END = np.uint64(1), np.uint64(2)
-#: Documents of a chunk at most, so that two bytes name one.
-CHUNK_DOCUMENTS = 1 << 16
+#: Documents of a chunk at most, so that two bytes name one, and characters, for its memory.
+CHUNK_DOCUMENTS, CHUNK_CHARACTERS = 1 << 16, 1 << 22
+#: Smaller buckets take less memory at a time.
+BUCKETS_PER_PARTITION = 2
 #: A word or bigram is hot from one part in so many of a partition's even share.
 HOT_PARTS = 4
 
@@ -84,6 +86,16 @@ def word_ids(texts: list[str], hasher: WordHasher) -> Iterator[tuple[int, int, n
         yield at, to, out, begins + lengths + 2
 
 
+def chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive documents within the limits of a chunk; a longer one is a chunk alone."""
+    sizes, at = batch["text"].str.len().to_numpy(), 0
+    while at < len(batch):
+        fits = np.searchsorted(np.cumsum(sizes[at:]), CHUNK_CHARACTERS, side="right")
+        to = at + min(max(1, int(fits)), CHUNK_DOCUMENTS)
+        yield batch.iloc[at:to]
+        at = to
+
+
 def pair_id(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v, 21) + w, 22)
 
@@ -173,7 +185,7 @@ def score_documents(
     """One row per document: id, n_words (with the end symbol), log_score."""
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    buckets = partitions(docs.sparkSession)
+    buckets = BUCKETS_PER_PARTITION * partitions(docs.sparkSession)
     words = word_counts(texts, buckets)
     documents = texts.count()
     total = words.agg(F.sum("total")).first()[0] or 0
@@ -184,8 +196,7 @@ def score_documents(
         """Bigrams to the buckets of their first word; what is hot is scored here."""
         hasher, chunk = WordHasher(), TaskContext.get().partitionId() << 32
         for whole in batches:
-            for first in range(0, len(whole), CHUNK_DOCUMENTS):
-                batch = whole.iloc[first : first + CHUNK_DOCUMENTS]
+            for batch in chunks(whole):
                 sums, sizes, sent = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64), []
                 for at, to, tokens, ends in word_ids(batch["text"].tolist(), hasher):
                     starts, lengths = segments(ends)
@@ -202,7 +213,7 @@ def score_documents(
                     np.add.at(sums, owner[hot_pair], known)
                     bucket = np.where(hot_v, pair_id(v, w), mix(v, 23)) % wide
                     rest = ~hot_pair
-                    sent.append((bucket[rest], v[rest], w[rest], owner[rest]))
+                    sent.append((bucket[rest].astype(np.int32), v[rest], w[rest], owner[rest].astype(np.uint16)))
                 none = {"firsts": None, "runs": None, "last": None, "owners": None}
                 yield pd.DataFrame(
                     [{"bucket": chunk % buckets, "chunk": chunk, **none, "ids": batch["id"].tolist(), "sizes": sizes.tobytes(), "sums": sums.tobytes()}]
@@ -217,7 +228,7 @@ def score_documents(
                         "firsts": packed(firsts),
                         "runs": runs.astype("<u4").tobytes(),
                         "last": packed(w[at]),
-                        "owners": owner[at].astype("<u2").tobytes(),
+                        "owners": owner[at].tobytes(),
                         "ids": None,
                         "sizes": None,
                         "sums": None,
@@ -229,12 +240,16 @@ def score_documents(
         f"bucket int, chunk bigint, firsts binary, runs binary, last binary, owners binary, "
         f"ids array<{kind}>, sizes binary, sums binary"
     )
-    told = ["bucket", "chunk", "last", "owners", "ids", "sizes", "sums"]
-    told_schema = f"bucket int, chunk bigint, last binary, owners binary, ids array<{kind}>, sizes binary, sums binary"
+    told = ["bucket", "chunk", "last", "owners", "ids", "sizes", "sums", "chunks", "runs"]
+    told_schema = (
+        f"bucket int, chunk bigint, last binary, owners binary, ids array<{kind}>, sizes binary, sums binary, "
+        "chunks binary, runs binary"
+    )
 
     def join_pairs(group: pd.DataFrame) -> pd.DataFrame:
         """Counts of the bucket's bigrams, joined to the bigrams; the rest backs off."""
-        out = [tuple(r) for r in group.loc[group["ids"].notna(), told].itertuples(index=False)]
+        whole = group[group["ids"].notna()].assign(chunks=None)
+        out = [tuple(r) for r in whole[told].itertuples(index=False)]
         group = group[group["ids"].isna()]
         if not len(group):
             return pd.DataFrame(out, columns=told)
@@ -251,15 +266,19 @@ def score_documents(
         back = c_pair < min_count
         some = back & hot_w
         score[some] = np.log(backoff * hot.word_counts[place[some]] / total)
-        ends = np.cumsum([len(o) // 2 for o in group["owners"]])
-        for chunk, a, b, owners in zip(group["chunk"], np.append(0, ends[:-1]), ends, group["owners"], strict=True):
-            owner = np.frombuffer(owners, dtype="<u2")
-            scored = ~(back[a:b] & ~hot_w[a:b])
-            docs_here, sums = sums_of(owner[scored], score[a:b][scored])
-            out.append((chunk % buckets, chunk, None, docs_here, None, None, sums))
-            w_back, o_back = w[a:b][~scored], owner[~scored]
-            for bucket, at in by_bucket(w_back % wide, buckets):
-                out.append((bucket, chunk, packed(w_back[at]), o_back[at].tobytes(), None, None, None))
+        sizes = [len(o) // 2 for o in group["owners"]]
+        chunk = np.repeat(group["chunk"].to_numpy(), sizes)
+        owner = np.frombuffer(b"".join(group["owners"]), dtype="<u2")
+        open_ = back & ~hot_w
+        for at_chunk, docs_here, sums in sums_by_chunk(chunk[~open_], owner[~open_], score[~open_]):
+            out.append((at_chunk % buckets, at_chunk, None, docs_here, None, None, sums, None, None))
+        w, owner, chunk = w[open_], owner[open_], chunk[open_]
+        # One row for each bucket to go to, whatever the number of chunks.
+        for bucket, at in by_bucket(w % wide, buckets):
+            at = at[np.argsort(chunk[at], kind="stable")]
+            names, runs = np.unique(chunk[at], return_counts=True)
+            runs = runs.astype("<u4").tobytes()
+            out.append((bucket, None, packed(w[at]), owner[at].tobytes(), None, None, None, names.astype("<i8").tobytes(), runs))
         return pd.DataFrame(out, columns=told)
 
     scored_schema = f"chunk bigint, owners binary, ids array<{kind}>, sizes binary, sums binary"
@@ -275,10 +294,11 @@ def score_documents(
         if len(rest):
             ids = unpacked(table["ids"].iloc[0])
             counts = np.frombuffer(table["counts"].iloc[0], dtype="<i8")
-            for chunk, last, owners in zip(rest["chunk"], rest["last"], rest["owners"], strict=True):
-                n = counts[np.searchsorted(ids, unpacked(last))]
-                docs_here, sums = sums_of(np.frombuffer(owners, dtype="<u2"), np.log(backoff * n / total))
-                out.append((chunk, docs_here, None, None, sums))
+            n = counts[np.searchsorted(ids, unpacked(b"".join(rest["last"])))]
+            names, runs = (np.frombuffer(b"".join(rest[c]), dtype=t) for c, t in (("chunks", "<i8"), ("runs", "<u4")))
+            owner = np.frombuffer(b"".join(rest["owners"]), dtype="<u2")
+            found = sums_by_chunk(np.repeat(names, runs), owner, np.log(backoff * n / total))
+            out += [(chunk, docs_here, None, None, sums) for chunk, docs_here, sums in found]
         return pd.DataFrame(out, columns=scored_columns)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
@@ -296,10 +316,13 @@ def score_documents(
     return scored.groupBy("chunk").applyInPandas(finish, f"id {kind}, n_words bigint, log_score double")
 
 
-def sums_of(owner: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
-    """Documents of a chunk with something to add, and the sum of each."""
-    if not len(owner):
-        return b"", b""
-    sums = np.bincount(owner, weights=values)
-    some = np.unique(owner)
-    return some.astype("<u2").tobytes(), sums[some].tobytes()
+def sums_by_chunk(chunk: np.ndarray, owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """For each chunk its documents with something to add, and the sum of each."""
+    if not len(chunk):
+        return
+    order = np.argsort(chunk, kind="stable")
+    names, starts = np.unique(chunk[order], return_index=True)
+    for name, part in zip(names, np.split(order, starts[1:]), strict=True):
+        sums = np.bincount(owner[part], weights=values[part])
+        some = np.unique(owner[part])
+        yield int(name), some.astype("<u2").tobytes(), sums[some].tobytes()
