@@ -1,0 +1,228 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import json
+
+import numpy as np
+import pytest
+
+from vendastat.llm import (
+    backoff_lm,
+    embedding_dedup,
+    exact_dedup,
+    hilbert_sharding,
+    language_id,
+    mixing,
+    order_minhash,
+    packing,
+    secret_scan,
+    url_filter,
+)
+from vendastat.llm.hilbert import hilbert_index
+from vendastat.llm.queries import TOKENIZER
+
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, size bigint, hash string, key string"
+LONG = "lang wort und mehr " * 150_000
+
+
+def document(doc_id, text, lang="en", source="a"):
+    return (doc_id, text, lang, source, None, 7, 7, "x", "y")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [
+        document(1, "The quick brown fox jumps over the lazy dog and runs far away from here today"),
+        document(1, "The quick brown fox jumps over the lazy dog and runs far away from here today"),
+        document(2, "the quick brown fox jumps over the lazy dog and runs far away from here today"),
+        document(3, None, None, None),
+        document(4, ""),
+        document(5, "   \n\t "),
+        document(6, "12345 !!"),
+        document(7, LONG, "de", "b"),
+        document(8, "Ein kurzer Satz mit einigen Wörtern und noch mehr davon für alle hier", "de", "b"),
+        document(None, "A text without id but with some words in it"),
+    ]
+    return spark.createDataFrame(rows, DDL)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DDL)
+
+
+OPERATORS = {
+    "minhash": order_minhash.near_duplicate_classes,
+    "shards": hilbert_sharding.assign_shards,
+    "mix": mixing.mix_plan,
+    "secrets": secret_scan.find_secrets,
+    "scores": backoff_lm.score_documents,
+    "exact": exact_dedup.exact_groups,
+    "language": language_id.identify,
+}
+
+
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_one_row_each(odd, none, name):
+    assert len(OPERATORS[name](odd).collect()) == 10
+    assert OPERATORS[name](none).collect() == []
+
+
+def test_packing_takes_everything(odd, none):
+    rows = packing.pack(odd, TOKENIZER).toPandas()
+    assert (rows["start"] == 0).sum() == 10
+    assert rows["length"].sum() == rows.loc[rows["start"] == 0, "doc_tokens"].sum()
+    assert packing.pack(none, TOKENIZER).collect() == []
+
+
+def test_filters_keep_columns_and_one_of_each(odd, none):
+    kept = exact_dedup.drop_copies(odd, normalise=exact_dedup.ascii_lower)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i) == [1, 3, 5, 6, 7, 8] and len(ids) == 7
+    near = order_minhash.keep_one(odd)
+    ids = [r["doc_id"] for r in near.collect()]
+    assert near.columns == odd.columns and ids.count(1) == 1 and 2 not in ids
+    for f in (exact_dedup.drop_copies, order_minhash.keep_one, mixing.mixed):
+        assert f(none).collect() == []
+
+
+def test_largest_id_stays(odd):
+    rows = exact_dedup.exact_groups(odd, keep="largest", normalise=exact_dedup.ascii_lower).collect()
+    fox = [r for r in rows if r["id"] in (1, 2)]
+    assert {r["keep_id"] for r in fox} == {2} and {r["group_size"] for r in fox} == {3}
+    assert [r["id"] for r in fox if r["kept"]] == [2]
+    assert {r["keep_id"] for r in rows if r["id"] in (3, 4)} == {4}
+
+
+def test_mix_of_repeated_rows(odd):
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    plan = mixing.mix_plan(odd).collect()
+    assert len(out.collect()) == sum(r["repetitions"] for r in plan)
+    assert all(r["taken"] <= 2 * r["size"] for r in plan)
+
+
+def test_language_needs_letters(odd, none):
+    told = {r["id"]: r for r in language_id.identify(odd).collect()}
+    assert all(told[i]["lang_pred"] == "und" and told[i]["score"] == 0 for i in (3, 4, 5, 6))
+    assert language_id.recognised(none, 0.5).collect() == []
+
+
+def test_hot_group_in_several_tiles(spark):
+    """Chains of near copies around no common hub, in buckets larger than a tile."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for n in range(60):
+        words = list(base)
+        for k in range(2):
+            words[(n * 7 + 61 * k) % 200] = f"x{n}"
+        rows.append(document(n, " ".join(words)))
+    rows += [document(100 + n, " ".join(f"y{n}z{i}" for i in range(50))) for n in range(5)]
+    docs = spark.createDataFrame(rows, DDL)
+    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicate_classes(docs, tile_members=8).collect()}
+    assert {got[n] for n in range(60)} == {0}
+    assert all(got[100 + n] == 100 + n for n in range(5))
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for label in (0, 1):
+        centres = rng.standard_normal((12, 32))
+        for c in centres:
+            for _ in range(6):
+                rows.append((n, [float(x) for x in c + 0.12 * rng.standard_normal(32)], label))
+                n += 1
+    rows.append((n, rows[0][1], 0))
+    rows.append((n + 1, [2 * x for x in rows[0][1]], 0))
+    sound = list(rows)
+    bad = [None, [], [0.0] * 32, [float("nan")] + [1.0] * 31, [None] + [1.0] * 31, [float("inf")] * 32]
+    rows += [(1000 + i, v, 0) for i, v in enumerate(bad)] + [(2000, rows[0][1], None), (2001, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    x = np.array([np.float32(v).astype(float) for _, v, _ in sound])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([label for *_, label in sound])
+    near = (x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    for options in ({}, {"cell_vectors": 8, "tile_vectors": 16, "block_dimensions": 8}):
+        got = {r["id"]: r for r in embedding_dedup.near_duplicates(df, **options).collect()}
+        assert len(got) == len(rows)
+        assert [got[i]["n_links"] for i in range(len(sound))] == near.sum(axis=1).tolist()
+        component = np.arange(len(sound))
+        for _ in range(20):
+            component = np.array([min(component[i], component[near[i]].min(initial=10**6)) for i in range(len(sound))])
+        assert [got[i]["component_id"] for i in range(len(sound))] == component.tolist()
+        assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (1000, 1003, 2000, 2001))
+    assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_urls(spark):
+    cases = {
+        "HTTP://WWW.Example.COM/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),
+        "http://example.com/EN/": ("example.com", "/EN/", "com/", "allow"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "http://x.org/a.example.com/en/": ("x.org", "/a.example.com/en/", None, "allow"),
+        "http://my-casino.org/": ("my-casino.org", "/", None, "block"),
+        "http://x.org/casino": ("x.org", "/casino", None, "allow"),
+        "http://com": ("com", "", None, "allow"),
+        "no scheme": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "http://x.net/fr/" + "é" * 5000: ("x.net", "/fr/" + "é" * 5000, "net/fr/", "block"),
+    }
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
+    got = {r["id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert url_filter.judge_urls(pages.limit(0)).collect() == []
+
+
+def test_automaton_against_patterns():
+    import re
+
+    rng = np.random.default_rng(5)
+    globs = ["".join(rng.choice(list("ab?*/"), rng.integers(1, 12))) + "**" * int(rng.integers(0, 2)) for _ in range(60)]
+    texts = ["".join(rng.choice(list("ab/"), rng.integers(0, 14))) for _ in range(300)]
+
+    def pattern(glob):
+        head, slash, tail = re.sub(r"\*{2,}", "\0", glob).partition("/")
+        turn = lambda part, one: "".join({"\0": "(?s:.*)", "*": one + "*", "?": one}.get(c, re.escape(c)) for c in part)
+        return re.compile(turn(head, "[^/]") + slash + turn(tail, "(?s:.)"))
+
+    globs = [re.sub(r"\*{3,}", "**", g) for g in globs]
+    found = url_filter.ShiftAnd(globs).run([t.encode() for t in texts])
+    assert (found == np.array([[bool(pattern(g).fullmatch(t)) for g in globs] for t in texts])).all()
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body)
+    head = bytes([size]) if size < 128 else (lambda b: bytes([0x80 | len(b)]) + b)(size.to_bytes((size.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + head + body
+
+
+def test_secret_structures():
+    number = lambda n, first=0x41: der(2, bytes([first]) + bytes(range(1, n)))
+    rsa = der(0x30, der(2, b"\0"), number(64), *[number(40) for _ in range(7)])
+    wrong = bytearray(rsa)
+    wrong[1:3] = b"\x82\x7f"
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    head, body = url(json.dumps({"alg": "HS256"}).encode()), url(json.dumps({"sub": "1"}).encode())
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rsa).decode() + "-----END RSA PRIVATE KEY-----"
+    kinds = lambda text: [k for k, _, _ in secret_scan.spans(text)]
+    assert "b64key" in kinds(f"é key {base64.b64encode(rsa).decode()} end")
+    assert "b64key" not in kinds(base64.b64encode(bytes(wrong)).decode())
+    assert "hexkey" in kinds(rsa.hex()) and "pem" in kinds(pem)
+    assert kinds(f"{head}.{body}.{url(bytes(32))}") == ["jwt"]
+    assert kinds(f"{head}.{body}.{url(bytes(31))}") == []
+    assert kinds("API-KEY=abc password: hunter22 token = short") == ["assign"]
+    assert secret_scan.spans("é AKIA0123456789AB") == [("access", 2, 18)]
+
+
+def test_curve_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
+        index = hilbert_index(grid, bits)
+        assert sorted(index) == list(range(len(grid)))
+        walk = grid[np.argsort(index)]
+        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
