@@ -176,3 +176,11 @@ def test_sample_has_fixed_size_and_ignores_partitioning(spark):
     assert one == two and len(set(one)) == 100
     assert [r["k"] for r in fixed_sample(df, "k", 100, 43).collect()] != one
     assert fixed_sample(df, "k", 5000, 42).count() == 1000
+
+
+def test_matrix_refuses_to_drop_months(spark):
+    ddl = "cohort_month date, month_number int, active_customers bigint, cohort_size bigint, retention_rate double"
+    df = frame(spark, [(dt.date(2020, 1, 1), n, 1, 1, 100.0) for n in (0, 3)], ddl)
+    with pytest.raises(Exception, match="month number above 2: 3"):
+        reports.cohort_matrix(df, 2).collect()
+    assert len(reports.cohort_matrix(df, 3).collect()) == 1

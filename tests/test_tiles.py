@@ -67,3 +67,17 @@ def test_tile_sizes(n, count):
 def test_too_small_samples_are_refused(spark):
     with pytest.raises(ValueError, match="sample_rows"):
         global_ntile(frame(spark, [], DDL), SCORES, "key", sample_rows=5)
+
+
+def test_forms_agree_on_extreme_values(spark):
+    inf, nan = float("inf"), float("nan")
+    doubles = [nan, inf, -inf, 0.0, -0.0, None, 1.5, -1.5]
+    longs = [-(2**63), 2**63 - 1, 0, None, -1, 1]
+    rows = [(f"k{i}", doubles[i % 8], longs[i % 6]) for i in range(100)]
+    df = frame(spark, rows, "key string, d double, x bigint")
+    scores = {f"{c}_{o}": (c, o) for c in ("d", "x") for o in ("asc", "desc")}
+    both = [
+        sorted(tuple(r) for r in global_ntile(df, scores, "key", distributed=form).select("key", *scores).collect())
+        for form in (True, False)
+    ]
+    assert both[0] == both[1]

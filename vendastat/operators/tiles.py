@@ -45,16 +45,26 @@ class _Cut:
 class _Order:
     """A total order over a table as one comparable struct column.
 
-    Unknown values come last for ascending and first for descending order, and the unique
-    tie-break makes all keys different, so that even a value shared by most rows can be cut.
+    Unknown values come last for ascending and first for descending order, NaN is larger than
+    any number, and the unique tie-break makes all keys different, so that even a value shared
+    by most rows can be cut. The order is that of a plain window. Whole numbers are turned
+    round as decimals, as the smallest bigint has no opposite.
     """
 
     def __init__(self, df: DataFrame, column: str, direction: str, tie_break: str):
-        value = F.col(column) if direction == "asc" else -F.col(column)
-        unknown = F.col(column).isNull()
+        value, kind = F.col(column), df.schema[column].dataType
+        unknown, nan = value.isNull(), F.lit(False)
+        if isinstance(kind, T.IntegralType):
+            value = value.cast("decimal(20,0)")
+        elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            nan = F.coalesce(F.isnan(value), F.lit(False))
+            value = F.when(nan, 0.0).otherwise(value)
+        if direction != "asc":
+            value, unknown, nan = -value, ~unknown, ~nan
         dtype = df.select(value.alias("v")).schema["v"].dataType
         self.key = F.struct(
-            (unknown if direction == "asc" else ~unknown).alias("u"),
+            unknown.alias("u"),
+            nan.alias("n"),
             F.coalesce(value, F.lit(0).cast(dtype)).cast(dtype).alias("v"),
             F.col(tie_break).alias("k"),
         )

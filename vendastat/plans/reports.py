@@ -220,11 +220,16 @@ def retention_curves(retention: DataFrame, cohorts: list | None = None) -> DataF
 def cohort_matrix(retention: DataFrame, months: int | None = None) -> DataFrame:
     """Retention rates with one row per cohort and columns ``m0 .. m<months>``.
 
-    Cells without a row stay NULL. Without ``months`` the largest month number is looked up
-    first, which computes the input one more time.
+    Cells without a row stay NULL. A month number above ``months`` is an error, never left
+    out. Without ``months`` the largest month number is looked up first, which computes the
+    input one more time.
     """
     if months is None:
         months = retention.agg(F.max("month_number")).first()[0] or 0
+    beyond = F.raise_error(F.concat(F.lit(f"month number above {months}: "), F.col("month_number").cast("string")))
+    # The error is of the grouped column, so that it is raised in the same pass.
+    cohort = F.when(F.col("month_number") > months, beyond.cast(retention.schema["cohort_month"].dataType))
+    retention = retention.withColumn("cohort_month", cohort.otherwise(F.col("cohort_month")))
     wide = retention.groupBy("cohort_month").pivot("month_number", list(range(months + 1)))
     return wide.agg(F.first("retention_rate")).withColumnsRenamed({str(m): f"m{m}" for m in range(months + 1)})
 
