@@ -54,6 +54,7 @@ def test_views_share_a_stored_fact(spark, star, tmp_path):
     assert "PartitionFilters: [isnotnull(purchase_month_date" in january._jdf.queryExecution().executedPlan().toString()
     names = register_views(spark, star, fact)
     assert spark.table("vw_cohort_retention").count() == 1690
+    assert spark.table("vw_order_fact").columns == order_fact(star).columns
     for name in names:
         spark.catalog.dropTempView(name)
 

@@ -88,6 +88,8 @@ def register_views(
     so name only the views that are wanted.
     """
     names = names or [*VIEWS, PAYMENT_VIEW]
+    if fact is not None:
+        fact = fact.select(*[c for c in FACT_COLUMNS if c in fact.columns])  # stored ones end with the folder's column
     for name in names:
         shared = fact is not None and name != PAYMENT_VIEW
         df = VIEWS[name].build(fact) if shared else build_view(name, star)

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, small: bool = False) -> None:
-    """CSV with a header, UTF-8, no index. ``small=True`` gives a single file."""
-    (df.coalesce(1) if small else df).write.option("header", True).option("encoding", "UTF-8").csv(path)
+    """CSV with a header, UTF-8, no index. ``small=True`` gives a single file, for report tables.
+
+    Only the finished rows meet in one task; the steps before keep their partitions.
+    """
+    (df.repartition(1) if small else df).write.option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_documents(df: DataFrame, path: str, key: str, text: str = "markdown") -> None:

@@ -47,8 +47,7 @@ def run_query(spark: SparkSession, query: str, params: dict | None = None) -> Da
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Table and view names of a database (temporary views included), by name."""
-    where = f" IN {database}" if database else ""
-    names = spark.sql(f"SHOW TABLES{where}")
+    names = spark.sql("SHOW TABLES IN IDENTIFIER(:db)", {"db": database}) if database else spark.sql("SHOW TABLES")
     return names.select(F.col("tableName").alias("table_name")).distinct().orderBy("table_name")
 
 
