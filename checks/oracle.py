@@ -500,3 +500,40 @@ ORACLE_SQL["new_returning_display"] = _rounded(
     ORACLE_SQL["new_returning_kpis"],
     {"total_revenue": 2, "new_revenue": 2, "returning_revenue": 2, "returning_revenue_share_pct": 2},
 )
+
+
+def _placed(blocks: list[str], keys: str, source: str, order: str) -> str:
+    place = f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place"
+    return _with(blocks, f"SELECT {keys}, {place} FROM {source}")
+
+
+ORACLE_SQL |= {
+    "ordered_cohort_retention": _placed(
+        ["cohorts"], "cohort_month, month_number", "cohorts", "cohort_month, month_number"
+    ),
+    "ordered_monthly_kpis": _placed(["monthly"], "purchase_month", "monthly", "purchase_month NULLS LAST"),
+    "ordered_product_performance": _placed(
+        ["products"], "category", "products", "revenue DESC NULLS FIRST, category"
+    ),
+    "ordered_seller_performance": _placed(
+        ["sellers"], "seller_id", "sellers", "revenue DESC NULLS FIRST, seller_id"
+    ),
+    "ordered_state_performance": _placed(
+        ["states"], "customer_state", "states", "gmv DESC NULLS FIRST, customer_state"
+    ),
+    "ordered_new_vs_returning": _placed(
+        ["split"], "purchase_month, customer_type", "split", "purchase_month NULLS LAST, customer_type"
+    ),
+    "ordered_payment_analysis": _placed(
+        ["pay"],
+        "payment_type",
+        "(SELECT payment_type, sum(payment_value) AS total_paid FROM pay GROUP BY payment_type)",
+        "total_paid DESC NULLS FIRST, payment_type NULLS LAST",
+    ),
+    "ordered_rfm_segment_summary": _placed(
+        ["scored"], "rfm_segment", _SUMMARY, "total_revenue DESC NULLS FIRST, rfm_segment"
+    ),
+    "ordered_rfm_segment_map": _placed(
+        ["scored"], "rfm_segment", _SUMMARY, "customers DESC NULLS FIRST, rfm_segment"
+    ),
+}

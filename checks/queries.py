@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.brief_documents import BRIEF_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
 from vendastat.plans import briefs, customers, reports
-from vendastat.plans.catalog import VIEWS, build_view, register_views
-from vendastat.plans.dashboard import REPORTS, build_report
+from vendastat.plans.catalog import VIEW_ORDER, VIEWS, build_view, register_views
+from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, build_report
 from vendastat.plans.fact import DELIVERED
 from vendastat.sources.retail import RetailStar, payments
-from vendastat.sources.sinks import json_payload
+from vendastat.sources.sinks import json_payload, sort_columns
 from vendastat.sources.tables import run_query, table_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 MIN_ORDERS = 60
 # The data covers 80 months, so month numbers run from 0 to 79.
 MATRIX_MONTHS = 79
+# Views with a declared order, and what tells their rows apart.
+ORDERED_VIEWS = {
+    "vw_cohort_retention": ["cohort_month", "month_number"],
+    "vw_monthly_kpis": ["purchase_month"],
+    "vw_product_performance": ["category"],
+    "vw_seller_performance": ["seller_id"],
+    "vw_state_performance": ["customer_state"],
+    "vw_new_vs_returning": ["purchase_month", "customer_type"],
+    "vw_payment_analysis": ["payment_type"],
+}
 INPUT_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -165,6 +175,16 @@ def matrix(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(reports.cohort_matrix(retention, MATRIX_MONTHS))
 
 
+def ordered(name: str, keys: list[str], order: list[str], build: Callable) -> Query:
+    """Keys of a view or report with the place each row has in its declared order."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*sort_columns(order)))
+        return build(name, star(spark, folder)).select(*keys, place.alias("place"))
+
+    return run
+
+
 # Reports with means of inexact values.
 INEXACT = {
     "eligible_months", "gmv_mom_change", "executive_kpis", "business_health", "delivery_kpis",
@@ -190,4 +210,12 @@ QUERIES: dict[str, Query] = {
     "brief_validation": validated,
     "brief_markdown": rendered,
     "list_tables": inventory,
+    **{
+        f"ordered_{name.removeprefix('vw_')}": ordered(name, keys, VIEW_ORDER[name], build_view)
+        for name, keys in ORDERED_VIEWS.items()
+    },
+    **{
+        f"ordered_{name}": ordered(name, ["rfm_segment"], REPORT_ORDER[name], build_report)
+        for name in ("rfm_segment_summary", "rfm_segment_map")
+    },
 }

@@ -91,6 +91,18 @@ def test_csv_and_documents(spark, tmp_path):
     assert stem == "product_and_category_new"
 
 
+def test_csv_keeps_the_declared_order(spark, tmp_path):
+    rows = [(i, None if i == 7 else (i * 37) % 50) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(8)
+    want = [str(k) for k, v in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))]
+    for small in (True, False):
+        write_csv(df, f"{tmp_path}/{small}", small=small, order=["-v", "k"])
+        parts = sorted(Path(f"{tmp_path}/{small}").glob("part-*"))
+        assert (len(parts) == 1) or not small
+        lines = [line for p in parts for line in p.read_text().splitlines() if line != "k,v"]
+        assert [line.split(",")[0] for line in lines] == want
+
+
 def test_json_payload(spark):
     df = spark.createDataFrame(
         [(1, dt.date(2020, 1, 1), Decimal("1.50"), None, {"a": 1.5}, 2.5)],

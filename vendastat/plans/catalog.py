@@ -64,6 +64,18 @@ VIEWS = {
 }
 PAYMENT_VIEW = "vw_payment_analysis"
 
+# Order in which the rows of a view are shown and written; "-" means descending.
+# Columns after the first ones only break ties.
+VIEW_ORDER = {
+    "vw_cohort_retention": ["cohort_month", "month_number"],
+    "vw_monthly_kpis": ["purchase_month", "year_month"],
+    "vw_product_performance": ["-revenue", "category"],
+    "vw_seller_performance": ["-revenue", "seller_id", "seller_city", "seller_state"],
+    "vw_state_performance": ["-gmv", "customer_state"],
+    "vw_new_vs_returning": ["purchase_month", "customer_type"],
+    "vw_payment_analysis": ["-total_paid", "payment_type"],
+}
+
 
 def build_view(name: str, star: StarSchema, count_customers: bool = True) -> DataFrame:
     """A view from the star schema, joining and reading only what it needs.

@@ -76,6 +76,24 @@ REPORTS: dict[str, Report] = {
 }
 
 
+# Order of the reports that are lists, as in ``catalog.VIEW_ORDER``.
+REPORT_ORDER = {
+    "eligible_months": ["purchase_month", "year_month"],
+    "gmv_mom_change": ["purchase_month", "year_month"],
+    "status_by_month": ["purchase_month", "year_month"],
+    "rfm_segment_summary": ["-total_revenue", "rfm_segment"],
+    "rfm_segment_revenue": ["-total_revenue", "rfm_segment"],
+    "rfm_segment_map": ["-customers", "rfm_segment"],
+    "cohort_first6_curves": ["cohort_month", "month_number"],
+    "cohort_matrix": ["cohort_month"],
+    "top_categories": ["-revenue", "category"],
+    "leading_categories": ["-revenue", "category"],
+    "top_sellers": ["-revenue", "seller_id", "seller_city", "seller_state"],
+    "sellers_to_review": ["-revenue", "seller_id", "seller_city", "seller_state"],
+    "returning_share_by_month": ["purchase_month"],
+}
+
+
 def build_report(name: str, star: StarSchema, min_orders: int = reports.MIN_MONTHLY_ORDERS) -> DataFrame:
     """A report from the star schema; ``min_orders`` is the limit for a month to be counted."""
     return REPORTS[name](star, min_orders)

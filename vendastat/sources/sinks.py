@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_csv(df: DataFrame, path: str, small: bool = False) -> None:
-    """CSV with a header, UTF-8, no index. ``small=True`` gives a single file, for report tables.
+def sort_columns(order: list[str]) -> list[Column]:
+    """Sort columns from names, "-" in front for descending.
 
-    Only the finished rows meet in one task; the steps before keep their partitions.
+    A missing value comes last where the order ascends and first where it descends.
     """
-    (df.repartition(1) if small else df).write.option("header", True).option("encoding", "UTF-8").csv(path)
+    return [F.desc_nulls_first(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order]
+
+
+def write_csv(df: DataFrame, path: str, small: bool = False, order: list[str] | None = None) -> None:
+    """CSV with a header, UTF-8, no index, in the given order (see ``sort_columns``).
+
+    Ordered rows lie in files whose names follow the order. ``small=True`` gives a single file,
+    for report tables: only the finished rows meet in one task, the steps before keep their
+    partitions.
+    """
+    columns = sort_columns(order or [])
+    if small:
+        df = df.repartition(1)
+        df = df.sortWithinPartitions(*columns) if columns else df
+    elif columns:
+        df = df.orderBy(*columns)
+    df.write.option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_documents(df: DataFrame, path: str, key: str, text: str = "markdown") -> None:
