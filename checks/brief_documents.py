@@ -1,17 +1,17 @@
 """Brief documents for the checks, written so that Spark and DuckDB read the same expression.
 
 Made per seller from seller_id, orders_fulfilled, items_sold and revenue. The remainder of
-seller_id by 13 plants a defect:
+seller_id by 15 plants a defect:
 
  0 no closing brace          5 four actions            10 list instead of object
  1 two keys missing          6 no risk                 11 sound, priorities out of order
  2 caveat present but null   7 three risks             12 sound, priorities out of order
  3 unknown status            8 action without priority
- 4 two findings              9 extra key in a finding
+ 4 two findings              9 extra key in a finding         13 priority 1.5, 14 priority "2"
 """
 
 _ID = "cast(seller_id as string)"
-_KIND = "(seller_id % 13)"
+_KIND = "(seller_id % 15)"
 
 
 def _when(kind: int, then: str, otherwise: str) -> str:
@@ -38,10 +38,14 @@ _FINDINGS = " || ',' || ".join(
 _THIRD_FINDING = (
     f"case when {_KIND} = 4 then '' else ',' || {_finding('revenue', 'revenue')} end"
 )
+_SECOND_PRIORITY = (
+    f"""case when {_KIND} = 8 then '' when {_KIND} = 13 then '"priority":1.5,' """
+    f"""when {_KIND} = 14 then '"priority":"2",' else '"priority":2,' end"""
+)
 _ACTIONS = " || ',' || ".join([
     _action("'\"priority\":3,'", "review seller"),
     _action("'\"priority\":1,'", "call seller"),
-    _action(_when(8, "", '"priority":2,'), "audit stock of seller"),
+    _action(_SECOND_PRIORITY, "audit stock of seller"),
 ])
 _FOURTH_ACTION = f"""case when {_KIND} = 5 then ',' || {_action("'\"priority\":2,'", "warn seller")} else '' end"""
 

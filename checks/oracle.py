@@ -160,7 +160,7 @@ BLOCKS = {
               FROM read)""",
     "actions_in_order": """
         SELECT seller_id, i, a,
-               row_number() OVER (PARTITION BY seller_id ORDER BY coalesce(CAST(a->>'priority' AS INTEGER), 99), i) AS place
+               row_number() OVER (PARTITION BY seller_id ORDER BY coalesce(TRY_CAST(a->>'priority' AS DOUBLE), 99), i) AS place
         FROM (SELECT seller_id, unnest(range(0, CAST(json_array_length(j->'actions') AS BIGINT))) AS i,
                      unnest(CAST(j->'actions' AS JSON[])) AS a
               FROM read)""",
@@ -478,7 +478,7 @@ ORACLE_SQL: dict[str, str] = {
                 END AS error_detail,
            error IS NULL AND json_type(j->'caveat') = 'VARCHAR'
                AND len([k FOR k IN json_keys(j->'findings'->1) IF k NOT IN ('label', 'number', 'detail')]) = 0
-               AND json_type(j->'actions'->2->'priority') IS NOT NULL AS is_strict
+               AND coalesce(json_type(j->'actions'->2->'priority') = 'UBIGINT', false) AS is_strict
            FROM judged""",
     ),
     "brief_markdown": _with(["judged", "actions_in_order"], _MARKDOWN),

@@ -118,6 +118,13 @@ def test_markdown_of_gaps(spark):
     assert "## Conclusion\n\n\n## Summary" in text and "## Findings\n\n## Risks" in text
 
 
+def test_priorities_that_are_no_whole_numbers(spark):
+    written = [(2, "b"), ("high", "d"), (1.5, "a2"), ("1", "a"), (None, "e"), (3, "c")]
+    text = render(spark, brief(actions=[{"priority": p, "action": name} for p, name in written]))
+    lines = [x for x in text.split("\n") if ". **" in x]
+    assert lines == ["1. **a**", "1.5. **a2**", "2. **b**", "3. **c**", "high. **d**", ". **e**"]
+
+
 def test_split_and_unreadable_documents(spark):
     df = spark.createDataFrame([(json.dumps(brief()),), ("nothing",), ("[{}]",)], "document string")
     accepted, rejected = briefs.split_briefs(briefs.validate_briefs(df))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vendastat.functions.numeric import to_number
+
 # Keys, allowed statuses and list sizes of a brief document.
 REQUIRED_KEYS = ["actions", "caveat", "findings", "headline", "risks", "status", "summary"]
 STATUSES = ["Strong", "Stable", "Watch closely", "At risk"]
@@ -22,7 +24,7 @@ BRIEF_SCHEMA = """
     status string, headline string, summary string,
     findings array<struct<label: string, number: string, detail: string>>,
     risks array<string>,
-    actions array<struct<priority: int, action: string, reason: string, expected_impact: string>>,
+    actions array<struct<priority: string, action: string, reason: string, expected_impact: string>>,
     caveat string
 """
 
@@ -123,12 +125,16 @@ def split_briefs(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def actions_by_priority(actions: Column) -> Column:
-    """Actions in order of priority, those without one last; equal ones keep their order."""
+    """Actions in order of priority; equal ones keep their order.
+
+    Priorities are kept as they were written, and ordered by the number they hold: 1.5 comes
+    between 1 and 2. Those without one, or with text that is no number, come last.
+    """
 
     def rank(action: Column) -> Column:
-        return F.coalesce(action["priority"], F.lit(LAST_PRIORITY))
+        return F.coalesce(to_number(action["priority"]), F.lit(float(LAST_PRIORITY)))
 
-    return F.array_sort(actions, lambda left, right: rank(left) - rank(right))
+    return F.array_sort(actions, lambda left, right: F.signum(rank(left) - rank(right)).cast("int"))
 
 
 def render_markdown(df: DataFrame, status: str, audience: str, context: str) -> DataFrame:
