@@ -78,8 +78,7 @@ def display(name: str) -> Query:
 def rfm_distributed(high_is_good: bool) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         metrics = build_view("vw_customer_metrics", star(spark, folder))
-        # A small sample, so that the search also takes several rounds on small data.
-        return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True, sample_rows=300))
+        return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True))
 
     return run
 

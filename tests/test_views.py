@@ -32,6 +32,23 @@ def test_fact_of_chosen_columns_joins_only_what_it_needs(make_star):
     assert order_fact(star, ["seller_state", "order_id"]).columns == ["order_id", "seller_state"]
 
 
+def test_distinct_counts_repeat_reduced_rows_only(make_fact):
+    fact = make_fact([item(1), item(1, n=2)])
+    for build in (performance.state_performance, performance.product_performance, performance.data_quality):
+        plan = build(fact)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        # The deeper a step, the later its line.
+        assert "HashAggregate" in plan.split("Expand", 1)[1]
+
+
+def test_customer_metrics_join_the_fact_once(make_fact):
+    metrics = customers.customer_metrics(make_fact([item(1), item(2, customer=None)]))
+    assert metrics.count() == 1
+    metrics.collect()
+    final = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final
+
+
 def test_order_is_on_time_if_all_known_items_are(make_fact):
     late, unknown = {"delivery_status": "Late"}, {"delivery_status": None}
     fact = make_fact([
