@@ -536,4 +536,14 @@ ORACLE_SQL |= {
     "ordered_rfm_segment_map": _placed(
         ["scored"], "rfm_segment", _SUMMARY, "customers DESC NULLS FIRST, rfm_segment"
     ),
+    "rfm_sample_small": _with(
+        ["scored"],
+        f"""SELECT {_RFM}, {_segment()} AS rfm_segment FROM scored
+            ORDER BY md5('42:' || customer_unique_id), customer_unique_id LIMIT 300""",
+    ),
+    "all_flagged_sellers": _with(
+        ["sellers"],
+        """SELECT seller_id FROM sellers
+           WHERE coalesce(on_time_pct < 90, false) OR coalesce(avg_rating < 4, false)""",
+    ),
 }

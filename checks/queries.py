@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from checks.brief_documents import BRIEF_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
+from vendastat.operators.sampling import fixed_sample
 from vendastat.plans import briefs, customers, reports
 from vendastat.plans.catalog import VIEW_ORDER, VIEWS, build_view, register_views
-from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, build_report
+from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, SAMPLE_SEED, build_report
 from vendastat.plans.fact import DELIVERED
 from vendastat.sources.retail import RetailStar, payments
 from vendastat.sources.sinks import json_payload, sort_columns
@@ -26,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Gives both kept and dropped months at the scale the results are compared at.
 MIN_ORDERS = 60
+# Less than the number of customers at that scale.
+SMALL_SAMPLE = 300
 # The data covers 80 months, so month numbers run from 0 to 79.
 MATRIX_MONTHS = 79
 # Views with a declared order, and what tells their rows apart.
@@ -112,6 +115,18 @@ def on_time_shares(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(normalize_percent(frame, "from_pct", "from_share"), 6)
 
 
+def small_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rfm = build_view("vw_rfm_segments", star(spark, folder))
+    return comparable(fixed_sample(rfm, "customer_unique_id", SMALL_SAMPLE, SAMPLE_SEED))
+
+
+def all_flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Sellers to review among all of them, not only those with the most revenue."""
+    sellers = reports.top_sellers(build_view("vw_seller_performance", star(spark, folder)), None)
+    flagged = reports.flag_sellers(sellers).where("needs_review")
+    return flagged.select("seller_id")
+
+
 def rfm_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """The per-segment maps as JSON text, since map columns cannot be compared."""
     bundle = build_report("rfm_kpis", star(spark, folder))
@@ -198,6 +213,8 @@ QUERIES: dict[str, Query] = {
     "rfm_segments_high_is_good": rfm_distributed(high_is_good=True),
     **{name: report(name, 6 if name in INEXACT else None) for name in REPORTS},
     "rfm_kpis": rfm_bundle,
+    "rfm_sample_small": small_sample,
+    "all_flagged_sellers": all_flagged,
     "cohort_matrix": matrix,
     "executive_display": display("executive_kpis"),
     "new_returning_display": display("new_returning_kpis"),

@@ -84,7 +84,13 @@ def test_csv_and_documents(spark, tmp_path):
     write_csv(df, f"{tmp_path}/csv", small=True)
     (part,) = Path(f"{tmp_path}/csv").glob("part-*")
     assert part.read_text(encoding="utf-8").splitlines()[:2] == ["k,t,v", "1,São,"]
-    write_documents(spark.createDataFrame([("x", "# a\nb")], "k string, markdown string"), f"{tmp_path}/md", "k")
+    texts = spark.createDataFrame([("x", "# a\nb"), ("y", None)], "k string, markdown string")
+    write_documents(texts, f"{tmp_path}/all", "k")
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/all").select("k", "markdown").collect())) == [
+        ("x", "# a\nb"), ("y", None),
+    ]
+    write_documents(texts, f"{tmp_path}/md", "k", names=["x"])
+    assert [p.name for p in Path(f"{tmp_path}/md").glob("k=*")] == ["k=x"]
     (part,) = Path(f"{tmp_path}/md/k=x").glob("part-*")
     assert part.read_text() == "# a\nb\n"
     stem = spark.range(1).select(file_stem(F.lit("Product & Category/New"))).first()[0]

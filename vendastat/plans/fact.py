@@ -85,8 +85,8 @@ def order_fact(star: StarSchema, columns: Iterable[str] | None = None) -> DataFr
     fact = star.items.where(F.col("order_status") == DELIVERED).select([_item_column(c) for c in of_item])
     if of_customer:
         lookup = star.customers.select("customer_id", *of_customer)
-        fact = lookup_join(fact, lookup, "customer_id", spread_by=ITEM_KEY)
+        fact = lookup_join(fact, lookup, "customer_id", spread_by=ITEM_KEY, counted=star.key_rows("customer_id"))
     if of_seller:
         lookup = star.sellers.select("seller_id", *of_seller)
-        fact = lookup_join(fact, lookup, "seller_id", spread_by=ITEM_KEY, counted=star.items)
+        fact = lookup_join(fact, lookup, "seller_id", spread_by=ITEM_KEY, counted=star.key_rows("seller_id"))
     return fact.select(wanted)

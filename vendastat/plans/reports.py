@@ -237,19 +237,22 @@ def cohort_matrix(retention: DataFrame, months: int | None = None) -> DataFrame:
 # Categories ---------------------------------------------------------------------------
 
 
-def top_categories(products: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
+def top_categories(products: DataFrame, n: int | None = TOP_CATEGORIES) -> DataFrame:
+    """Categories with the most revenue; all of them, in any order, if ``n`` is None."""
+    if n is None:
+        return products
     return products.orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_last("category")).limit(n)
 
 
-def product_kpis(products: DataFrame) -> DataFrame:
-    """Leader and top-5 figures of the loaded categories."""
+def product_kpis(products: DataFrame, n: int | None = TOP_CATEGORIES) -> DataFrame:
+    """Leader and top-5 figures of the loaded categories: the first ``n``, or all if None."""
     place = F.row_number().over(
         _everything().orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_last("category"))
     )
     leading = F.col("place") <= LEADING_CATEGORIES
     share = share_pct(F.sum(F.when(leading, F.col("revenue"))), F.sum("revenue"))
     return (
-        top_categories(products)
+        top_categories(products, n)
         .withColumn("place", place)
         .agg(
             F.count("*").alias("categories_loaded"),
@@ -268,8 +271,13 @@ def leading_categories(products: DataFrame) -> DataFrame:
 # Sellers ------------------------------------------------------------------------------
 
 
-def top_sellers(sellers: DataFrame, n: int = TOP_SELLERS) -> DataFrame:
-    """Sellers with the most revenue, the on-time share on a 0-100 scale."""
+def top_sellers(sellers: DataFrame, n: int | None = TOP_SELLERS) -> DataFrame:
+    """Sellers with the most revenue, the on-time share on a 0-100 scale.
+
+    All sellers, in any order, if ``n`` is None.
+    """
+    if n is None:
+        return normalize_percent(sellers, "on_time_pct")
     top = sellers.orderBy(F.desc_nulls_first("revenue"), *_ascending(SELLER_KEYS)).limit(n)
     return normalize_percent(top, "on_time_pct", small=True)
 

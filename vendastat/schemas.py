@@ -91,6 +91,10 @@ class StarSchema:
         """The tables as needed for an order fact of these columns; stored tables need no change."""
         return self
 
+    def key_rows(self, key: str) -> DataFrame:
+        """Rows to count the keys of a join with the items on, without any join."""
+        return self.items.select(key)
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` reduced to the declared columns; raises if a column is missing or mistyped."""

@@ -156,6 +156,11 @@ class RetailStar:
     def narrowed(self, fact_columns: Iterable[str]) -> RetailStar:
         return RetailStar(self.spark, self.folder, self.status, fact_columns)
 
+    def key_rows(self, key: str) -> DataFrame:
+        """Customers are counted by orders, sellers by line items: one scan, no join."""
+        table, column = {"customer_id": ("orders", "o_custkey"), "seller_id": ("lineitem", "l_suppkey")}[key]
+        return _table(self.spark, self.folder, table).select(F.col(column).alias(key))
+
     @cached_property
     def items(self) -> DataFrame:
         if self.fact_columns is None:

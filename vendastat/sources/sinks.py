@@ -31,9 +31,19 @@ def write_csv(df: DataFrame, path: str, small: bool = False, order: list[str] |
     df.write.option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_documents(df: DataFrame, path: str, key: str, text: str = "markdown") -> None:
-    """One folder per key value, holding the document as text."""
-    df.select(key, F.col(text).alias("value")).write.partitionBy(key).text(path)
+def write_documents(
+    df: DataFrame, path: str, key: str, text: str = "markdown", names: list | None = None
+) -> None:
+    """Documents as JSON lines of key and text, in as many files as there are partitions.
+
+    Separate text files, one folder per key, are for a short list: ``names`` holds the keys, and
+    only those are written.
+    """
+    if names is None:
+        df.select(key, text).write.json(path)
+    else:
+        named = df.where(F.col(key).isin(names))
+        named.select(key, F.col(text).alias("value")).write.partitionBy(key).text(path)
 
 
 def file_stem(context: Column) -> Column:
