@@ -18,6 +18,7 @@ from vendastat.llm import (
     secret_scan,
     url_filter,
 )
+from vendastat.llm.arrays import WordHasher
 from vendastat.llm.hilbert import hilbert_index
 from vendastat.llm.queries import TOKENIZER
 
@@ -226,3 +227,34 @@ def test_curve_visits_neighbours():
         assert sorted(index) == list(range(len(grid)))
         walk = grid[np.argsort(index)]
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def keys_of(texts):
+    return packing.curve_keys(texts, packing.projection(), WordHasher())
+
+
+def test_curve_follows_whole_words():
+    unlike = [
+        ("international relations", "internationalisation relational"),
+        ("переводчик переводил", "перевозка перепись"),
+        ("https://a.example/one https://b.example/two", "https://c.example/six https://d.example/ten"),
+        ("今天天气很好我们去公园散步", "今天天文学家发现了一颗新的行星"),
+        ("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" * 3, "QUJDREVGaGlqa2xtbm9wcXJzdHV2d3h5eg" * 3),
+    ]
+    for a, b in unlike:
+        one, other = keys_of([a, b]).tolist()
+        assert one != other, (a, b)
+    assert len(set(keys_of(["A Word", "a word"]).tolist())) == 1
+
+
+def test_near_texts_without_spaces_are_near_on_the_curve():
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(c) for c in rng.integers(0x4E00, 0x5200, 400)) for _ in range(60)]
+    edited = [t[:200] + "改" + t[201:] for t in texts]
+    keys, near = keys_of(texts), keys_of(edited)
+    assert np.median(np.abs(keys - near)) * 20 < np.median(np.abs(keys - np.roll(keys, 1)))
+
+
+def test_keys_do_not_depend_on_the_batch():
+    texts = ["", "short one", "長い文章" * 2000, "x" * 3_000_000, "今天 天气", LONG * 2, " \n", "ж" * 900_000]
+    assert keys_of(texts).tolist() == [keys_of([t])[0] for t in texts]

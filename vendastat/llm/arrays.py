@@ -9,6 +9,8 @@ import numpy as np
 #: Bytes of text handled at once; all working arrays are a small multiple of this.
 CHUNK_BYTES = 1 << 20
 SPACES = " \t\n\v\f\r"
+#: Bytes of a piece of a word, and of the longest word that is only taken as a whole.
+PIECE_BYTES, LONG_WORD = 6, 32
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -56,8 +58,11 @@ class WordHasher:
         np.cumsum(self.codes[raw] * self.up[: len(raw)], out=total[1:])
         return mix((total[ends] - total[starts]) * self.down[starts]), starts, ends
 
-    def batches(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Hashes for runs of texts: (first text, last + 1, word hashes, end offset of each text)."""
+    def batches(self, texts: list[str], parts_too: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Hashes for runs of texts: (first text, last + 1, word hashes, end offset of each text).
+
+        ``parts_too`` adds the hashes of ``pieces`` to those of the words.
+        """
         at = 0
         while at < len(texts):
             parts, size, to = [], 0, at
@@ -66,35 +71,49 @@ class WordHasher:
                 size += len(texts[to])
                 to += 1
             if to == at + 1 and size > 4 * CHUNK_BYTES:
-                hashes = np.concatenate([self.words(p.lower().encode())[0] for p in slices(parts[0])])
+                hashes = np.concatenate([self._features(p.lower().encode(), parts_too)[0] for p in slices(parts[0])])
                 yield at, to, hashes, np.array([len(hashes)])
             else:
                 data = [p.lower().encode() for p in parts]
-                hashes, starts, _ = self.words(b"\n".join(data))
+                hashes, starts = self._features(b"\n".join(data), parts_too)
                 lengths = np.array([len(d) + 1 for d in data])
                 yield at, to, hashes, np.searchsorted(starts, np.cumsum(lengths))
             at = to
 
+    def _features(self, data: bytes, parts_too: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start byte of every word, and of every piece if wanted, by start byte."""
+        hashes, starts, ends = self.words(data)
+        if parts_too:
+            where, codes = pieces(data, starts, ends)
+            if len(where):
+                starts = np.concatenate([starts, where])
+                order = np.argsort(starts, kind="stable")
+                hashes, starts = np.concatenate([hashes, codes])[order], starts[order]
+        return hashes, starts
 
-def prefix_batches(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Like ``WordHasher.batches``, cheaper, with the first eight bytes of each word as numbers."""
-    mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
-    at = 0
-    while at < len(texts):
-        parts, size, to = [], 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) < CHUNK_BYTES):
-            parts.append(texts[to].encode())
-            size += len(texts[to])
-            to += 1
-        raw = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n" * 9, dtype=np.uint8)
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        starts, ends = edges[::2] + 1, edges[1::2] + 1
-        heads = np.lib.stride_tricks.sliding_window_view(raw, 8)[starts]
-        words = np.ascontiguousarray(heads).view("<u8").ravel() & mask[np.minimum(ends - starts, 8)]
-        limits = np.cumsum([len(p) + 1 for p in parts])
-        yield at, to, words, np.searchsorted(starts, limits + 1)
-        at = to
+
+def pieces(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start byte and hash of the pieces of words: six bytes from each character on, inside the word.
+
+    Words of more than ``LONG_WORD`` bytes have them throughout, others from characters of three
+    bytes or more on, as in scripts without spaces: two of these, or three Greek or Cyrillic ones.
+    """
+    lengths = ends - starts
+    chosen = lengths > LONG_WORD
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    if not data.isascii():
+        wide = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.cumsum(raw >= 0xE0, out=wide[1:])
+        chosen |= (wide[ends] > wide[starts]) & (lengths >= PIECE_BYTES)
+    some = np.flatnonzero(chosen)
+    counts = lengths[some] - PIECE_BYTES + 1
+    upto = np.cumsum(counts)
+    total = int(upto[-1]) if len(upto) else 0
+    where = np.repeat(starts[some] - (upto - counts), counts) + np.arange(total)
+    first = raw[where]
+    where = where[(first >= 0xE0) | np.repeat(lengths[some] > LONG_WORD, counts) & ((first & 0xC0) != 0x80)]
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[where]).view("<u8").ravel()
+    return where, mix(eight & np.uint64((1 << 8 * PIECE_BYTES) - 1), 11)
 
 
 def slices(text: str) -> Iterator[str]:

@@ -1,7 +1,8 @@
 """Packing along a space-filling curve.
 
-Every document becomes a vector of hashed word counts, projected to a few dimensions and put
-on a Hilbert curve. Documents are dealt out by ranges of that curve, so neighbours in content
+Every document becomes a vector of hashed counts, projected to a few dimensions and put on a
+Hilbert curve. Counted are whole words in lower case, and the six-byte pieces of words that are
+very long or written in a script without spaces (``arrays.pieces``). Documents are dealt out by ranges of that curve, so neighbours in content
 are neighbours in the stream of tokens, and the stream is cut every 4096 tokens: no sequence
 but the last has padding. A document that crosses a cut is in two sequences or more.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import WordHasher, mix, prefix_batches, segments
+from .arrays import WordHasher, mix, segments
 from .common import partitions, store
 from .hilbert import hilbert_index
 
@@ -46,11 +47,11 @@ def projection(size: int = VECTOR_SIZE, dimensions: int = DIMENSIONS) -> np.ndar
     return np.random.default_rng(20240229).standard_normal((size, dimensions))
 
 
-def curve_keys(texts: list[str], matrix: np.ndarray) -> np.ndarray:
-    """Curve index of each text: hashed, damped and normalised word counts, projected."""
+def curve_keys(texts: list[str], matrix: np.ndarray, hasher: WordHasher) -> np.ndarray:
+    """Curve index of each text: hashed, damped and normalised counts of words and pieces, projected."""
     out = np.zeros(len(texts), dtype=np.int64)
     size, dimensions = matrix.shape
-    for at, to, words, ends in prefix_batches(texts):
+    for at, to, words, ends in hasher.batches(texts, parts_too=True):
         _, lengths = segments(ends)
         owner = np.repeat(np.arange(to - at) * size, lengths)
         scrambled = mix(words, 3)
@@ -196,8 +197,10 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
     matrix = projection()
 
     @F.pandas_udf(T.LongType())
-    def key(texts: pd.Series) -> pd.Series:
-        return pd.Series(curve_keys(texts.tolist(), matrix))
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = WordHasher()
+        for texts in batches:
+            yield pd.Series(curve_keys(texts.tolist(), matrix, hasher))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, before = worker_tokens(path), 0
