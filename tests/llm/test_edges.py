@@ -158,6 +158,35 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_links_of_a_rare_length(spark, monkeypatch):
+    """Vectors of a length that a shared sample would miss are cut alike in all batches, or not at all."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for dims, count in ((32, 900), (8, 60)):
+        for c in rng.standard_normal((count // 2, dims)):
+            rows += [(len(rows) + i, [float(x) for x in c + 0.03 * rng.standard_normal(dims)], dims) for i in range(2)]
+    near = np.zeros(len(rows), dtype=int)
+    for dims in (8, 32):
+        own = [i for i, r in enumerate(rows) if r[2] == dims]
+        x = np.array([np.float32(rows[i][1]).astype(float) for i in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near[own] = (x @ x.T >= 0.93).sum(axis=1) - 1
+    schema = "vec_id bigint, embedding array<float>, dims int"
+    order = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([rows[i] for i in order], schema).selectExpr("vec_id", "embedding", "0 AS label")
+    monkeypatch.setattr(embedding_dedup, "GRID_SAMPLE", 8)
+    monkeypatch.setattr(embedding_dedup, "GRID_LEAST", 1, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for grids in (embedding_dedup._grids, lambda *_: {}):
+            monkeypatch.setattr(embedding_dedup, "_grids", grids)
+            found = embedding_dedup.near_duplicates(df, cell_vectors=4, tile_vectors=64).collect()
+            got = {r["id"]: r["n_links"] for r in found}
+            assert [got[i] for i in range(len(rows))] == near.tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_urls(spark):
     cases = {
         "HTTP://WWW.Example.COM/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),

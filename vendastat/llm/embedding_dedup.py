@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -39,6 +39,8 @@ BLOCK_DIMENSIONS = 16
 CELL_VECTORS, TILE_VECTORS = 4096, 16384
 #: Rows that the quantiles of the grid are taken from; they place cells, and decide no link.
 GRID_SAMPLE = 10_000
+#: The least of them for a length of vectors; lengths beyond what that leaves room for are not cut.
+GRID_LEAST = 100
 PAIRS_AT_ONCE = 1 << 21
 
 
@@ -205,27 +207,43 @@ def near_duplicates(
     )
 
 
+def _grids(classes: DataFrame, depths: DataFrame) -> dict[int, np.ndarray]:
+    """Turned vectors to cut the cells at, for each length that has cells: a bounded sample of each."""
+    lengths = depths.where("depth > 0").groupBy("dims").agg(F.sum("rows").alias("rows"))
+    lengths = lengths.orderBy(F.desc("rows"), "dims").limit(max(1, GRID_SAMPLE // GRID_LEAST)).collect()
+    if not lengths:
+        return {}
+    each = max(1, GRID_SAMPLE // len(lengths))
+    shares = {r["dims"]: min(1.0, 2 * each / r["rows"]) for r in lengths}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("dims")]
+    place = F.xxhash64("vector", "rep")
+    some = classes.select("dims", "vector", place.alias("place"))
+    some = some.where(F.pmod("place", F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.coalesce(share, F.lit(0.0)))
+    nth = F.row_number().over(Window.partitionBy("dims").orderBy("place"))
+    sample = some.withColumn("nth", nth).where(F.col("nth") <= each).select("dims", "vector").toPandas()
+    return {int(dims): unit(part["vector"].tolist()) @ rotation(int(dims)) for dims, part in sample.groupby("dims")}
+
+
 def _tiles(classes: DataFrame, cosine: float, size: int, cell_vectors: int, tile_vectors: int) -> DataFrame:
     """Vectors in all tiles they belong to: label, dims, block, cell, parts, roles and values."""
     classes = classes.withColumn("dims", F.size("vector"))
-    grids = {}
-    # A bounded sample, only to place the cells where vectors are.
-    share = min(1.0, 2 * GRID_SAMPLE / max(1, classes.count()))
-    some = classes.where(F.abs(F.hash("rep")) / F.lit(2**31) < share).select("dims", "vector").limit(GRID_SAMPLE)
-    sample = some.toPandas()
-    for dims, part in sample.groupby("dims"):
-        grids[int(dims)] = unit(part["vector"].tolist()) @ rotation(int(dims))
     depth = F.ceil(F.log2(F.count("*") / F.lit(cell_vectors)))
-    depths = classes.groupBy("label", "dims").agg(F.greatest(F.lit(0), depth).cast("int").alias("depth"))
-    classes = classes.join(store(depths, "depths"), ["label", "dims"])
+    depths = classes.groupBy("label", "dims").agg(
+        F.greatest(F.lit(0), depth).cast("int").alias("depth"), F.count("*").alias("rows")
+    )
+    depths = store(depths, "depths")
+    grids = _grids(classes, depths)
+    classes = classes.join(depths.drop("rows"), ["label", "dims"])
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "rep", "vector")}
 
     def cells(batches, values: bool):
         for batch in batches:
             for (dims, depth), part in batch.groupby(["dims", "depth"]):
-                dims, depth = int(dims), int(depth)
+                dims = int(dims)
                 turned = unit(part["vector"].tolist()) @ rotation(dims)
-                grid = grids.get(dims, turned)
+                grid = grids.get(dims, turned[:0])
+                # Cuts are the same for all rows, or there are none.
+                depth = int(depth) if len(grid) else 0
                 for n, (columns, budget) in enumerate(zip(blocks(dims, size), budgets(dims, size, cosine), strict=True)):
                     where, cell, home = near_cells(turned[:, columns], grid[:, columns], depth, budget)
                     head = part.iloc[where][["label", "dims"]].assign(block=n, cell=cell, is_home=home)
