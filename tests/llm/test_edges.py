@@ -126,6 +126,20 @@ def test_hot_group_in_several_tiles(spark):
     assert all(got[100 + n] == 100 + n for n in range(5))
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    def text(name, edit=None):
+        return " ".join(edit if i == 50 and edit else f"{name}{i}" for i in range(120))
+
+    rows = [(5, "a"), (None, "a", "x"), (None, "b"), (None, "b", "x"), (7, "c"), (7, "c", "x"), (9, "d"), (9, "e"), (3, "e", "x")]
+    docs = spark.createDataFrame([document(i, text(*t)) for i, *t in rows], DDL)
+    want = {text(*t): c for (_, *t), c in zip(rows, [5, 5, None, None, 7, 7, 9, 3, 3], strict=True)}
+    hashes = {r["hash"]: r["text"] for r in docs.selectExpr("md5(text) AS hash", "text").collect()}
+    found = order_minhash.near_duplicate_classes(docs).collect()
+    assert {hashes[r["hash"]]: r["class_id"] for r in found} == want and len(found) == len(rows)
+    kept = [(r["doc_id"], r["text"][0]) for r in order_minhash.keep_one(docs).collect()]
+    assert sorted(kept, key=lambda k: k[1]) == [(5, "a"), (None, "b"), (7, "c"), (9, "d"), (3, "e")]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     rows, n = [], 0

@@ -23,7 +23,8 @@ How candidates become classes without writing pairs down:
 
 Defined results: a null text counts as empty; all empty texts are one class. A text of 1 to 4
 words is one k-mer of all its words. The class of a row is the smallest id in it; null ids
-lose against others. Repeated rows are copies like others. Very long texts are hashed in
+lose against others, and a class without any other has the null id. Different texts with one id
+are told apart by their hashes. Repeated rows are copies like others. Very long texts are hashed in
 slices, and compared as a whole. An empty table gives an empty result.
 """
 
@@ -155,7 +156,7 @@ def near_duplicate_classes(
     similarity: float = SIMILARITY,
     tile_members: int = TILE_MEMBERS,
 ) -> DataFrame:
-    """One row per input row: id, hash (of its text), rep, class_id."""
+    """One row per input row: id, hash (of its text), class_id, class_hash (of the text that has it)."""
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("hash", F.md5(F.encode("text", "UTF-8")))
     kind = texts.schema["id"].dataType.simpleString()
@@ -177,21 +178,27 @@ def near_duplicate_classes(
     schema = f"id {kind}, hash string, size bigint, keys array<bigint>, marks binary"
     rows = store(texts.mapInPandas(sketch, schema), "sketches")
     classes = store(
+        # Stored, so the numbers stay as they are; they don't depend on ids, which may be null or repeated.
         rows.groupBy("hash").agg(
-            F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks")
-        ).where("rep is not null"),
+            F.min("id").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks")
+        ).withColumn("rep", F.monotonically_increasing_id()),
         "text-classes",
     )
     members = _bucket_members(classes.where("size > 0"))
     links = _hub_links(texts, members, classes, similarity, words)
     joined = components(links)
-    more = _tile_links(texts, members, classes, joined, similarity, words, tile_members, kind)
+    more = _tile_links(texts, members, classes, joined, similarity, words, tile_members)
     if not more.isEmpty():
         joined = components(links.union(more))
+    linked = joined.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "low", "hash"), "rep")
+    least = F.min(F.struct(F.col("low").isNull().alias("without"), "low", "hash"))
+    least = store(linked.groupBy("component").agg(least.alias("least")), "least-ids")
+    named = linked.join(least, "component").select("rep", "least")
+    own = F.struct(F.col("low").isNull().alias("without"), "low", "hash")
     parts = store(
-        classes.select("hash", "rep").join(
-            joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
-        ).select("hash", "rep", F.coalesce("component", "rep").alias("class_id")),
+        classes.select("hash", "rep", "low").join(named, "rep", "left").select(
+            "hash", F.coalesce("least", own).alias("least")
+        ).select("hash", F.col("least.low").alias("class_id"), F.col("least.hash").alias("class_hash")),
         "class-ids",
     )
     return rows.select("id", "hash").join(parts, "hash", "left")
@@ -250,10 +257,11 @@ def similar_marks(a, b):
 
 def _all_kmers(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, kmers) of the texts ``wanted``, one row each."""
-    chosen = classes.select("rep", "hash").join(wanted, "rep", "left_semi")
-    chosen = store(chosen.select("hash", F.col("rep").alias("id")), "wanted")
-    found = possible_rows(texts, chosen, "id").join(chosen, ["id", "hash"]).select("id", "text")
-    kind = found.schema["id"].dataType.simpleString()
+    chosen = classes.select("rep", F.col("hash").alias("rep_hash"), F.col("low").alias("id"))
+    chosen = store(chosen.join(wanted, "rep", "left_semi"), "wanted")
+    rows = possible_rows(texts, chosen, "id")
+    same = (rows["hash"] == chosen["rep_hash"]) & rows["id"].eqNullSafe(chosen["id"])
+    found = rows.join(chosen, same).select("rep", "text")
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
@@ -261,16 +269,17 @@ def _all_kmers(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
             out = []
             for _, _, values, ends in kmers(batch["text"].tolist(), hasher, words):
                 out += [values[s : s + n].tobytes() for s, n in zip(*segments(ends), strict=True)]
-            yield pd.DataFrame({"rep": batch["id"], "kmers": out})
+            yield pd.DataFrame({"rep": batch["rep"], "kmers": out})
 
-    computed = found.mapInPandas(compute, f"rep {kind}, kmers binary")
+    computed = found.mapInPandas(compute, "rep bigint, kmers binary")
     return computed.groupBy("rep").agg(F.first("kmers").alias("kmers"))
 
 
 def _tile_links(
-    texts: DataFrame, members: DataFrame, classes: DataFrame, joined: DataFrame, similarity: float, words: int, tile_members: int, kind: str
+    texts: DataFrame, members: DataFrame, classes: DataFrame, joined: DataFrame, similarity: float, words: int, tile_members: int
 ) -> DataFrame:
     """(a, b): what the buckets that hold several classes have in common beyond their hubs."""
+    kind = classes.schema["rep"].dataType.simpleString()
     labels = joined.select(F.col("node").alias("rep"), "component")
     labelled_members = members.join(labels, "rep", "left")
     labelled_members = store(
@@ -377,6 +386,6 @@ def alike_sets(sequences: list[np.ndarray], start: np.ndarray, similarity: float
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each class, with all columns of ``docs``."""
     classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    stays = classes.where(F.col("id").eqNullSafe(F.col("class_id")) & F.col("id").eqNullSafe(F.col("rep")))
+    stays = classes.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash")))
     stays = stays.groupBy("id", "hash").agg(F.count("*").alias("rows"))
     return matching_rows(docs, stays, id_col, F.md5(F.encode(text_or_empty(text_col), "UTF-8")))
