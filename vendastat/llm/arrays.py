@@ -48,15 +48,20 @@ class WordHasher:
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start byte and end byte of every word of ``data``."""
         raw = np.frombuffer(data, dtype=np.uint8)
-        self._grow(len(raw) + 1)
         solid = np.empty(len(raw) + 2, dtype=bool)
         solid[0] = solid[-1] = False
         solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
         edges = np.flatnonzero(solid[1:] != solid[:-1])
         starts, ends = edges[::2], edges[1::2]
+        return self.spans(data, starts, ends), starts, ends
+
+    def spans(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of the bytes between each start and end."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        self._grow(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.codes[raw] * self.up[: len(raw)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts]), starts, ends
+        return mix((total[ends] - total[starts]) * self.down[starts])
 
     def batches(self, texts: list[str], parts_too: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Hashes for runs of texts: (first text, last + 1, word hashes, end offset of each text).

@@ -6,10 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, embedding_dedup, exact_dedup, hilbert_sharding, language_id, mixing, order_minhash, packing, secret_scan, url_filter
-
-#: The tokenizer of the packing query; a parameter of the operator.
+from . import (
+    backoff_lm,
+    best_fit_packing,
+    conversation_repair,
+    embedding_dedup,
+    exact_dedup,
+    fill_in_middle,
+    hilbert_sharding,
+    language_id,
+    mixing,
+    order_minhash,
+    packing,
+    secret_scan,
+    url_filter,
+)
+
+#: The tokenizers of the packing queries; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +124,34 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of as few sequences of at most 2048 tokens as the method finds."""
+    pieces = best_fit_packing.pack(table(spark, folder, "documents"), BYTE_TOKENIZER)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document transformed and restored, as digests."""
+    moved = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    return moved.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every damaged conversation with its faults and the cheapest repair."""
+    damaged = conversation_repair.damage(table(spark, folder, "conversations"))
+    return conversation_repair.repair_conversations(damaged, present_col="present")
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -120,6 +163,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -169,4 +215,25 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op12_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h
+            FROM documents),
+        c AS (
+            SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                             OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d),
+        p AS (
+            SELECT *, '<P>' || substr(t, 1, least(a, b)) AS prefix, '<M>' || substr(t, least(a, b) + 1, abs(a - b)) AS middle,
+                   '<S>' || substr(t, greatest(a, b) + 1) AS suffix
+            FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN prefix || suffix || middle
+                                ELSE suffix || prefix || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
