@@ -7,9 +7,19 @@ result, over the same mapping of the generic tables to the star schema.
 from __future__ import annotations
 
 from checks.brief_documents import BRIEF_DOCUMENT
-from checks.queries import INPUT_TABLES, MATRIX_MONTHS, MIN_ORDERS
-from vendastat.plans.briefs import ACTIONS, DEFAULT_CAVEAT, FINDINGS, REQUIRED_KEYS, STATUSES, TITLE
-from vendastat.plans.dashboard import SAMPLE_SEED, SAMPLE_SIZE
+
+# Fixed values, stated here again so that a wrong one in the library shows.
+INPUT_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+MIN_ORDERS = 60
+SAMPLE_SIZE, SAMPLE_SEED = 3000, 42
+REQUIRED_KEYS = ["actions", "caveat", "findings", "headline", "risks", "status", "summary"]
+STATUSES = ("Strong", "Stable", "Watch closely", "At risk")
+FINDINGS, ACTIONS = 3, 3
+TITLE = "# Stakeholder Brief — "
+DEFAULT_CAVEAT = "These figures describe the selected data and filters; they do not establish causation."
 
 # Building blocks: name -> SQL. A query pulls in the blocks it names, in this order.
 BLOCKS = {
@@ -144,6 +154,19 @@ BLOCKS = {
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS payment_installments,
                CAST(value AS DECIMAL(12,2)) AS payment_value
         FROM events""",
+    "paid": """
+        SELECT order_id, arg_max(payment_type, rank) AS primary_payment_type,
+               max(installments) AS max_installments, CAST(sum(v) AS DECIMAL(12,2)) AS total_payment_value,
+               CAST(sum(n) AS BIGINT) AS payments
+        FROM (SELECT *, -row_number() OVER (PARTITION BY order_id ORDER BY v DESC, payment_type) AS rank
+              FROM (SELECT order_id, payment_type, sum(payment_value) AS v, max(payment_installments) AS installments,
+                           count(*) AS n
+                    FROM pay GROUP BY order_id, payment_type))
+        GROUP BY order_id""",
+    "rated": """
+        SELECT user_id AS order_id, avg(1 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 5) AS avg_review_score,
+               count(*) AS reviews
+        FROM events WHERE event_type = 'view' GROUP BY user_id""",
     "docs": f"SELECT seller_id, {BRIEF_DOCUMENT} AS document FROM sellers",
     "read": """
         SELECT seller_id, CASE WHEN json_type(TRY_CAST(document AS JSON)) = 'OBJECT'
@@ -151,7 +174,7 @@ BLOCKS = {
         FROM docs""",
     "judged": f"""
         SELECT *, CASE WHEN j IS NULL THEN 'malformed_json' WHEN len(gaps) > 0 THEN 'missing_keys'
-                       WHEN j->>'status' IS NULL OR j->>'status' NOT IN {tuple(STATUSES)!r} THEN 'invalid_status'
+                       WHEN j->>'status' IS NULL OR j->>'status' NOT IN {STATUSES!r} THEN 'invalid_status'
                        WHEN nf <> {FINDINGS} THEN 'findings_count' WHEN na <> {ACTIONS} THEN 'actions_count'
                        WHEN nr NOT IN (1, 2) THEN 'risks_count' END AS error
         FROM (SELECT *, [k FOR k IN {REQUIRED_KEYS!r} IF NOT list_contains(json_keys(j), k)] AS gaps,
@@ -186,6 +209,7 @@ _USES = {
     "listed_sellers": ["loaded_sellers"],
     "states": ["f"],
     "split": ["starts"],
+    "paid": ["pay"],
     "docs": ["sellers"],
     "read": ["docs"],
     "judged": ["read"],
@@ -277,6 +301,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "rfm_segments": _with(["scored"], f"SELECT {_RFM}, {_segment()} AS rfm_segment FROM scored"),
     "rfm_segments_distributed": _with(["scored"], f"SELECT {_RFM}, {_segment()} AS rfm_segment FROM scored"),
+    "rfm_segments_searched": _with(["scored"], f"SELECT {_RFM}, {_segment()} AS rfm_segment FROM scored"),
     "rfm_segments_high_is_good": _with(["turned"], f"SELECT {_RFM}, {_segment()} AS rfm_segment FROM turned"),
     "cohort_retention": _with(["cohorts"], "SELECT * FROM cohorts"),
     "monthly_kpis": _with(["monthly"], f"SELECT {_MONTHLY} FROM monthly"),
@@ -378,13 +403,13 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT * FROM cohorts WHERE cohort_month IN
            (SELECT DISTINCT cohort_month FROM cohorts ORDER BY cohort_month LIMIT 6)""",
     ),
+    # Months without any row get a column from the added rows, which have no cohort.
     "cohort_matrix": _with(
         ["cohorts"],
-        "SELECT cohort_month, "
-        + ", ".join(
-            f"max(CASE WHEN month_number = {m} THEN retention_rate END) AS m{m}" for m in range(MATRIX_MONTHS + 1)
-        )
-        + " FROM cohorts GROUP BY cohort_month",
+        """SELECT * FROM (PIVOT (
+               SELECT cohort_month, 'm' || month_number AS m, retention_rate FROM cohorts
+               UNION ALL SELECT NULL, 'm' || unnest(range(0, (SELECT max(month_number) + 1 FROM cohorts))), NULL)
+           ON m USING max(retention_rate) GROUP BY cohort_month) WHERE cohort_month IS NOT NULL""",
     ),
     "top_categories": _with(["ranked_products"], f"SELECT {_PRODUCTS} FROM ranked_products WHERE place <= 30"),
     "leading_categories": _with(
@@ -449,6 +474,19 @@ ORACLE_SQL: dict[str, str] = {
         ["sellers"],
         """SELECT seller_id, round(on_time_pct, 6) AS from_pct, round(on_time_pct, 6) AS from_share FROM sellers""",
     ),
+    "order_payments_reduced": _with(
+        ["paid"], "SELECT * REPLACE (CAST(total_payment_value AS DOUBLE) AS total_payment_value) FROM paid"
+    ),
+    "order_reviews_reduced": _with(
+        ["rated"], "SELECT order_id, round(avg_review_score, 6) AS avg_review_score, reviews FROM rated"
+    ),
+    "order_fact_from_raw": _with(
+        ["f", "paid", "rated"],
+        """SELECT f.order_id, order_item_id, product_id, CAST(price AS DOUBLE) AS price,
+           round(avg_review_score, 6) AS review_score, paid.primary_payment_type, paid.max_installments,
+           CAST(paid.total_payment_value AS DOUBLE) AS total_payment_value
+           FROM f LEFT JOIN paid USING (order_id) LEFT JOIN rated USING (order_id)""",
+    ),
     "numeric_coercion": _with(
         ["pay"],
         """SELECT order_id, payment_type,
@@ -482,7 +520,8 @@ ORACLE_SQL: dict[str, str] = {
            FROM judged""",
     ),
     "brief_markdown": _with(["judged", "actions_in_order"], _MARKDOWN),
-    "list_tables": " UNION ALL ".join(
+    "list_tables": " UNION ALL ".join(f"SELECT '{name}' AS table_name" for name in sorted(INPUT_TABLES)),
+    "table_inventory": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS rows FROM {name}" for name in INPUT_TABLES
     ),
 }
@@ -500,6 +539,29 @@ ORACLE_SQL["new_returning_display"] = _rounded(
     ORACLE_SQL["new_returning_kpis"],
     {"total_revenue": 2, "new_revenue": 2, "returning_revenue": 2, "returning_revenue_share_pct": 2},
 )
+ORACLE_SQL |= {
+    "rfm_display": _rounded(ORACLE_SQL["rfm_kpis"], {"top_segment_revenue_share_pct": 2}),
+    "retention_display": _rounded(
+        ORACLE_SQL["retention_m1_m3"], {"month_1_average_retention_pct": 2, "month_3_average_retention_pct": 2}
+    ),
+    "product_display": _rounded(
+        ORACLE_SQL["product_kpis"],
+        {"top_category_revenue": 2, "top_5_revenue_share_of_loaded_categories_pct": 2, "top_5_average_rating": 2},
+    ),
+    "seller_display": _rounded(
+        ORACLE_SQL["seller_kpis"],
+        {"flagged_seller_revenue": 2, "top_seller_revenue": 2, "top_seller_on_time_pct": 2, "top_seller_rating": 2},
+    ),
+    "geo_display": _rounded(
+        ORACLE_SQL["geo_kpis"], {"highest_gmv": 2, "lowest_on_time_pct": 2, "overall_state_gmv": 2}
+    ),
+    "business_health_display": _rounded(
+        ORACLE_SQL["business_health"], {"gmv": 2, "weighted_aov": 2, "weighted_on_time_pct": 2}
+    ),
+    "delivery_display": _rounded(
+        ORACLE_SQL["delivery_kpis"], {"weighted_on_time_pct": 2, "weighted_delivery_days": 2}
+    ),
+}
 
 
 def _placed(blocks: list[str], keys: str, source: str, order: str) -> str:

@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 
 from checks.brief_documents import BRIEF_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
+from vendastat.operators.ranks import global_places
 from vendastat.operators.sampling import fixed_sample
-from vendastat.plans import briefs, customers, reports
+from vendastat.plans import briefs, customers, orders, reports
 from vendastat.plans.catalog import VIEW_ORDER, VIEWS, build_view, register_views
 from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, SAMPLE_SEED, build_report
-from vendastat.plans.fact import DELIVERED
-from vendastat.sources.retail import RetailStar, payments
+from vendastat.plans.fact import DELIVERED, order_fact
+from vendastat.sources.retail import RetailStar, payments, reviews
 from vendastat.sources.sinks import json_payload, sort_columns
-from vendastat.sources.tables import run_query, table_inventory
+from vendastat.sources.tables import list_tables, register_tables, run_query, table_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,18 +30,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 MIN_ORDERS = 60
 # Less than the number of customers at that scale.
 SMALL_SAMPLE = 300
-# The data covers 80 months, so month numbers run from 0 to 79.
-MATRIX_MONTHS = 79
+# Less than the number of customers at that scale, so that the search for tiles narrows; and so few
+# that what is left is longer than the sample and ranked by ranges.
+SEARCH_SAMPLE = 200
 # Views with a declared order, and what tells their rows apart.
 ORDERED_VIEWS = {
     "vw_cohort_retention": ["cohort_month", "month_number"],
     "vw_monthly_kpis": ["purchase_month"],
-    "vw_product_performance": ["category"],
-    "vw_seller_performance": ["seller_id"],
     "vw_state_performance": ["customer_state"],
     "vw_new_vs_returning": ["purchase_month", "customer_type"],
     "vw_payment_analysis": ["payment_type"],
 }
+GROWING_VIEWS = {"vw_product_performance": ["category"], "vw_seller_performance": ["seller_id"]}
 INPUT_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -68,20 +69,25 @@ def report(name: str, digits: int | None = None) -> Query:
     return lambda spark, folder: comparable(build_report(name, star(spark, folder), MIN_ORDERS), digits)
 
 
-def display(name: str) -> Query:
-    """A bundle rounded the way it is shown."""
+def display(name: str, digits: str | None = None) -> Query:
+    """A bundle rounded the way it is shown; maps as JSON text, since they cannot be compared."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        bundle = build_report(name, star(spark, folder), MIN_ORDERS)
-        return comparable(reports.for_display(bundle, name))
+        shown = reports.for_display(build_report(name, star(spark, folder), MIN_ORDERS), digits or name)
+        maps = [f.name for f in shown.schema.fields if isinstance(f.dataType, T.MapType)]
+        two = {"segment_revenue", "segment_revenue_share_pct"}
+        as_text = {
+            m: F.to_json(F.transform_values(m, lambda _, v: v.cast("decimal(38,2)")) if m in two else F.col(m)) for m in maps
+        }
+        return comparable(shown.withColumns(as_text) if maps else shown)
 
     return run
 
 
-def rfm_distributed(high_is_good: bool) -> Query:
+def rfm_distributed(high_is_good: bool, **options) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         metrics = build_view("vw_customer_metrics", star(spark, folder))
-        return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True))
+        return comparable(customers.rfm_segments(metrics, high_is_good, distributed=True, **options))
 
     return run
 
@@ -98,6 +104,13 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     return table_inventory(tables).orderBy("table_name")
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of a database made of the input files."""
+    database = "vendastat_inputs"
+    register_tables(spark, database, {name: f"{folder}/{name}.parquet" for name in INPUT_TABLES})
+    return list_tables(spark, database)
+
+
 def payments_as_text(spark: SparkSession, folder: str) -> DataFrame:
     """Amounts of failed payments carry a currency code, so they are not numbers."""
     text = F.expr(
@@ -186,7 +199,34 @@ def state_payload(spark: SparkSession, folder: str) -> DataFrame:
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
     retention = build_view("vw_cohort_retention", star(spark, folder))
-    return comparable(reports.cohort_matrix(retention, MATRIX_MONTHS))
+    return comparable(reports.cohort_matrix(retention))
+
+
+def payments_reduced(spark: SparkSession, folder: str) -> DataFrame:
+    return comparable(orders.payments_per_order(payments(spark, folder)))
+
+
+def reviews_reduced(spark: SparkSession, folder: str) -> DataFrame:
+    return comparable(orders.reviews_per_order(reviews(spark, folder)), 6)
+
+
+def fact_from_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Delivered items with payments and reviews reduced from the raw tables."""
+    columns = ["order_id", "order_item_id", "product_id", "price", "review_score", *orders.OF_PAYMENTS]
+    return comparable(order_fact(RetailStar(spark, folder, DELIVERED, raw=True), columns), 6)
+
+
+def ordered_at_any_size(name: str, keys: list[str]) -> Query:
+    """The same for views that grow with the data: places by ranges of the order."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = build_view(name, star(spark, folder))
+        order = VIEW_ORDER[name]
+        return global_places(rows.select(*{*keys, *(c.lstrip("-") for c in order)}), sort_columns(order)).select(
+            *keys, F.col("place").cast("int").alias("place")
+        )
+
+    return run
 
 
 def ordered(name: str, keys: list[str], order: list[str], build: Callable) -> Query:
@@ -211,6 +251,10 @@ QUERIES: dict[str, Query] = {
     "payment_analysis": view("vw_payment_analysis"),
     "rfm_segments_distributed": rfm_distributed(high_is_good=False),
     "rfm_segments_high_is_good": rfm_distributed(high_is_good=True),
+    "rfm_segments_searched": rfm_distributed(high_is_good=False, sample_rows=SEARCH_SAMPLE),
+    "order_payments_reduced": payments_reduced,
+    "order_reviews_reduced": reviews_reduced,
+    "order_fact_from_raw": fact_from_raw,
     **{name: report(name, 6 if name in INEXACT else None) for name in REPORTS},
     "rfm_kpis": rfm_bundle,
     "rfm_sample_small": small_sample,
@@ -218,6 +262,13 @@ QUERIES: dict[str, Query] = {
     "cohort_matrix": matrix,
     "executive_display": display("executive_kpis"),
     "new_returning_display": display("new_returning_kpis"),
+    "rfm_display": display("rfm_kpis"),
+    "retention_display": display("retention_m1_m3", "retention_kpis"),
+    "product_display": display("product_kpis"),
+    "seller_display": display("seller_kpis"),
+    "geo_display": display("geo_kpis"),
+    "business_health_display": display("business_health"),
+    "delivery_display": display("delivery_kpis"),
     "eligible_months_by_sql": monthly_by_sql,
     "percent_normalize": on_time_shares,
     "numeric_coercion": payments_as_text,
@@ -225,11 +276,13 @@ QUERIES: dict[str, Query] = {
     "brief_parse": parsed,
     "brief_validation": validated,
     "brief_markdown": rendered,
-    "list_tables": inventory,
+    "list_tables": listed,
+    "table_inventory": inventory,
     **{
         f"ordered_{name.removeprefix('vw_')}": ordered(name, keys, VIEW_ORDER[name], build_view)
         for name, keys in ORDERED_VIEWS.items()
     },
+    **{f"ordered_{name.removeprefix('vw_')}": ordered_at_any_size(name, keys) for name, keys in GROWING_VIEWS.items()},
     **{
         f"ordered_{name}": ordered(name, ["rfm_segment"], REPORT_ORDER[name], build_report)
         for name in ("rfm_segment_summary", "rfm_segment_map")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vendastat.session import materialize
+
 # Text accepted as a number; Java alone would also take suffixes such as "1d".
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -70,9 +72,9 @@ def normalize_percent(df: DataFrame, *columns: str, small: bool = False) -> Data
     """Multiply each percent column by 100 if all of it looks like 0-1 shares.
 
     The rule looks at the whole column. ``small=True`` is for report tables (months,
-    states, a top-N list), where a window over all rows costs nothing and the input is
-    computed once. Otherwise the maxima are one separate aggregate, which has no
-    single-task step but evaluates the input a second time.
+    states, a top-N list), where a window over all rows costs nothing. Otherwise the table is
+    stored once, its maxima are read from there, and the result reads it once more: the input is
+    computed a single time and no step runs in one task.
     """
     columns = tuple(c for c in columns if c in df.columns)
     if not columns:
@@ -81,8 +83,9 @@ def normalize_percent(df: DataFrame, *columns: str, small: bool = False) -> Data
     if small:
         tops = {c: F.max(c).over(Window.partitionBy(F.lit(0))) for c in columns}
     else:
-        largest = df.agg(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
-        tops = {c: largest[c] for c in columns}
+        df = materialize(df, "percent")
+        largest = df.agg(*[F.max(c).alias(c) for c in columns]).first()
+        tops = {c: F.lit(largest[c]) for c in columns}
     return df.withColumns(
         {c: F.when(top <= SHARE_CEILING, F.col(c) * 100).otherwise(F.col(c)) for c, top in tops.items()}
     )

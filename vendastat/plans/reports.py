@@ -21,6 +21,7 @@ from vendastat.functions.numeric import (
     weighted_mean_all,
 )
 from vendastat.functions.rules import ON_TIME_TARGET, RATING_TARGET, health_status, needs_review
+from vendastat.session import materialize
 
 # Default limits of the reports.
 MIN_MONTHLY_ORDERS = 100
@@ -220,11 +221,12 @@ def retention_curves(retention: DataFrame, cohorts: list | None = None) -> DataF
 def cohort_matrix(retention: DataFrame, months: int | None = None) -> DataFrame:
     """Retention rates with one row per cohort and columns ``m0 .. m<months>``.
 
-    Cells without a row stay NULL. A month number above ``months`` is an error, never left
-    out. Without ``months`` the largest month number is looked up first, which computes the
-    input one more time.
+    Cells without a row stay NULL. Without ``months`` the retention table is stored, the largest
+    month number is read from there, and the stored rows are pivoted, so that the input is computed
+    once. With ``months``, a month number above it is an error, never left out.
     """
     if months is None:
+        retention = materialize(retention, "retention")
         months = retention.agg(F.max("month_number")).first()[0] or 0
     beyond = F.raise_error(F.concat(F.lit(f"month number above {months}: "), F.col("month_number").cast("string")))
     # The error is of the grouped column, so that it is raised in the same pass.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vendastat.operators.lookup import lookup_join
 from vendastat.plans.fact import RENAMED
+from vendastat.plans.orders import OF_PAYMENTS, OF_REVIEWS, with_order_totals
 from vendastat.schemas import CUSTOMERS, ORDER_ITEMS, PAYMENTS, SELLERS, conform
 
 SOURCE_SCHEMAS = {
@@ -31,6 +32,7 @@ SCORE_OF_PRIORITY = {"1": 5.0, "2": 5.0, "3": 4.0, "5": 2.0}
 PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card"]
 ESTIMATED_DAYS = 45
 UNDELIVERED_QUANTITY = 50
+REVIEW_EVENT = "view"
 
 # Per order, before the join with its items.
 PURCHASED = "timestampadd(SECOND, cast((o_orderkey * 7919) % 86400 as int), o_orderdate)"
@@ -140,21 +142,35 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Several reviews per order: the events of one type, with a score from 1 to 5."""
+    events = _table(spark, folder, "events").where(F.col("event_type") == REVIEW_EVENT)
+    number = F.get_json_object("props", "$.k").cast("int")
+    return events.select(F.col("user_id").alias("order_id"), (1 + number % 5).alias("review_score"))
+
+
 class RetailStar:
     """The four tables of a ``StarSchema``, each built when first asked for.
 
     ``status`` limits the items to orders of that status. With ``fact_columns``, items and
-    customers hold only what an order fact of those columns needs.
+    customers hold only what an order fact of those columns needs. With ``raw``, the payment and
+    review columns of the items are reduced from the payments and reviews of their order. That is
+    not the default, as few orders of the generic tables have any: the other items would have NULL.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, status: str | None = None, fact_columns: Iterable[str] | None = None
+        self,
+        spark: SparkSession,
+        folder: str,
+        status: str | None = None,
+        fact_columns: Iterable[str] | None = None,
+        raw: bool = False,
     ):
-        self.spark, self.folder, self.status = spark, folder, status
+        self.spark, self.folder, self.status, self.raw = spark, folder, status, raw
         self.fact_columns = None if fact_columns is None else list(fact_columns)
 
     def narrowed(self, fact_columns: Iterable[str]) -> RetailStar:
-        return RetailStar(self.spark, self.folder, self.status, fact_columns)
+        return RetailStar(self.spark, self.folder, self.status, fact_columns, self.raw)
 
     def key_rows(self, key: str) -> DataFrame:
         """Customers are counted by orders, sellers by line items: one scan, no join."""
@@ -163,10 +179,14 @@ class RetailStar:
 
     @cached_property
     def items(self) -> DataFrame:
-        if self.fact_columns is None:
-            return conform(order_items(self.spark, self.folder, ITEM_EXPRESSIONS, self.status), ORDER_ITEMS)
-        wanted = {RENAMED.get(c, c) for c in self.fact_columns} | JOIN_COLUMNS
-        return order_items(self.spark, self.folder, wanted, self.status)
+        wanted = set(ITEM_EXPRESSIONS)
+        if self.fact_columns is not None:
+            wanted = {RENAMED.get(c, c) for c in self.fact_columns} | JOIN_COLUMNS
+        of_orders = wanted & {*OF_PAYMENTS, *OF_REVIEWS} if self.raw else set()
+        items = order_items(self.spark, self.folder, wanted - of_orders, self.status)
+        if of_orders:
+            items = with_order_totals(items, self.payments, reviews(self.spark, self.folder))
+        return conform(items, ORDER_ITEMS) if self.fact_columns is None else items
 
     @cached_property
     def customers(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendastat.schemas import ID_COLUMNS, TABLES, StarSchema, conform
+from vendastat.session import shared_folder
 
 
 def read_star(spark: SparkSession, path: str) -> StarSchema:
@@ -45,6 +46,16 @@ def run_query(spark: SparkSession, query: str, params: dict | None = None) -> Da
     return spark.sql(query, args=params)
 
 
+def register_tables(spark: SparkSession, database: str, paths: dict[str, str]) -> None:
+    """A database of external tables over Parquet files; one of that name is replaced, no file is touched."""
+    name = {"db": database}
+    spark.sql("DROP DATABASE IF EXISTS IDENTIFIER(:db) CASCADE", name)
+    where = f"{shared_folder(spark)}/databases/{database}"
+    spark.sql("CREATE DATABASE IDENTIFIER(:db) LOCATION '" + where.replace("'", "\\'") + "'", name)
+    for table, path in paths.items():
+        spark.catalog.createTable(f"{database}.{table}", path=path, source="parquet")
+
+
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Table and view names of a database (temporary views included), by name."""
     names = spark.sql("SHOW TABLES IN IDENTIFIER(:db)", {"db": database}) if database else spark.sql("SHOW TABLES")
