@@ -348,3 +348,33 @@ def test_secrets_in_other_wrappings():
     ):
         secret_scan.spans(hard)
     assert time.perf_counter() - start < 20
+
+
+def test_shards_of_hot_and_few_texts(spark):
+    """A text in a third of the rows crosses shards; smaller groups are divided at cuts only."""
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i // 7}", "l", f"s{i % 5}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(8)
+    got = hilbert_sharding.assign_shards(df).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 1
+    groups = got.assign(text=got["id"].map({r[0]: r[1] for r in rows})).groupby("text")["shard"].agg(["nunique", "min", "max"])
+    assert (groups["max"] - groups["min"] + 1 == groups["nunique"]).all()
+    assert groups.loc["hot", "nunique"] in (8, 9) and (groups["nunique"] - 1).sum() <= 23
+    few = hilbert_sharding.assign_shards(df.limit(5)).toPandas()
+    assert len(few) == 5 and few["shard"].nunique() == 5 and (few["slot"] == 0).all()
+
+
+def test_language_sample_is_bounded(spark):
+    """Null ids, one id for all and one label: the sample keeps its bound and something is learned."""
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "house", "with", "green"], "de": ["das", "haus", "mit", "grün"]}
+    text = lambda lang: " ".join(rng.choice(words[lang], 12))
+    for ids in ([None] * 600, [1] * 600):
+        rows = [(i, text(lang), lang) for i, lang in zip(ids, ["en", "de"] * 300, strict=True)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+        model = language_id.train(df, sample_documents=40)
+        assert model is not None and model.languages == ["de", "en"]
+        told = language_id.identify(df).collect()
+        assert sum(r["lang_pred"] in ("de", "en") for r in told) == 600
+    one = spark.createDataFrame([(None, text("en"), "en")] * 9, "doc_id bigint, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in language_id.identify(one).collect()} == {("en", 1.0)}

@@ -96,20 +96,77 @@ def test_minhash_classes(spark, texts):
     assert got == roots_of(pairs, ids)
 
 
-def test_shards(spark, texts):
-    got = run(spark, "op2_hilbert_shards")
-    assert sorted(got["doc_id"]) == sorted(texts)
+def plain_hilbert(point, bits):
+    """The place of one point, by walking down the cells of the curve with whole coordinates."""
+    x, dims = list(point), len(point)
+    level = 1 << (bits - 1)
+    while level > 1:
+        for d in range(dims):
+            if x[d] & level:
+                x[0] ^= level - 1
+            else:
+                swap = (x[0] ^ x[d]) & (level - 1)
+                x[0] ^= swap
+                x[d] ^= swap
+        level >>= 1
+    for d in range(1, dims):
+        x[d] ^= x[d - 1]
+    flip, level = 0, 1 << (bits - 1)
+    while level > 1:
+        flip ^= level - 1 if x[-1] & level else 0
+        level >>= 1
+    x = [v ^ flip for v in x]
+    bit_by_bit = "".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x)
+    return int(bit_by_bit, 2)
+
+
+def check_shards(got, texts, shards=24):
     sizes = got.groupby("shard").size()
-    assert set(sizes.index) == set(range(24)) and sizes.max() - sizes.min() <= 1
+    assert sorted(sizes.index) == list(range(shards)) and sizes.max() - sizes.min() <= 1
     for _, rows in got.groupby("shard"):
         assert sorted(rows["slot"]) == list(range(len(rows)))
     ordered = got.sort_values(["shard", "slot"])
     assert ordered["curve_index"].is_monotonic_increasing
+    groups = got.assign(text=got["doc_id"].map(texts)).groupby("text")
+    assert (groups["curve_index"].nunique() == 1).all()
+    divided = groups["shard"].agg(["nunique", "min", "max"])
+    # A group lies in neighbouring shards, and each cut falls into one group at most.
+    assert (divided["max"] - divided["min"] + 1 == divided["nunique"]).all()
+    assert (divided["nunique"] - 1).sum() <= shards - 1
+    return divided
+
+
+def test_shards(spark, texts, duck):
+    got = run(spark, "op2_hilbert_shards")
+    assert sorted(got["doc_id"]) == sorted(texts)
+    check_shards(got, texts)
     for r in got.itertuples():
         data = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data))
 
 
+def test_curve_of_all_documents(spark, texts, duck):
+    """Coordinates made again by hand; every text is placed by its smallest id."""
+    from pyspark.sql import functions as F
+
+    from vendastat.llm import hilbert_sharding as sharding
+
+    got = run(spark, "op2_hilbert_shards").set_index("doc_id")["curve_index"]
+    rows = duck.execute("SELECT doc_id, source, lang FROM documents ORDER BY doc_id").fetchall()
+    hashes = spark.createDataFrame([(n,) for n in sorted({v for r in rows for v in r[1:]})], "n string")
+    place = {r["n"]: r["h"] for r in hashes.select("n", F.pmod(F.xxhash64("n"), F.lit(32)).alias("h")).collect()}
+    sizes = np.array(sorted(len(t.encode()) + 8 for t in texts.values()))
+    cuts = [sizes[int(np.ceil(k / 32 * len(sizes))) - 1] for k in range(1, 32)]
+    first = {}
+    for doc_id, source, lang in rows:
+        first.setdefault(texts[doc_id], (place[source], place[lang]))
+    assert sharding.BITS == 5
+    for doc_id, text in texts.items():
+        size = len(text.encode()) + 8
+        point = (*first[text], sum(c <= size for c in cuts))
+        assert got[doc_id] == plain_hilbert(point, 5)
+
+
 def test_mix(spark, duck, texts):
     import re
 

@@ -5,13 +5,18 @@ by quantiles of the whole table. Documents are put in order of the curve index o
 coordinates, and the order is cut into shards whose counts differ by one at most. Files of a
 shard then hold narrow ranges of every dimension, which their Parquet statistics show.
 
+Equal texts stay together: all rows of a text are placed by the metadata of the one with the
+smallest id, so they are neighbours on the curve. As counts may differ by one only, a cut may
+fall inside such a group; that divides at most one group per cut, and those larger than a shard.
+
 Only ids, sizes and coordinates are moved; the text stays where it is unless the shards are
-written. Within one cell of the curve equal texts are neighbours, then the id decides.
+written. Within one cell of the curve texts are ordered by their hash, then by id.
 
-Defined results: a null text has no bytes and checksum 0, a null in a dimension its lowest
-coordinate, null ids come first. Repeated rows are rows of their own, in arbitrary order among
-themselves. With fewer rows than shards some shards stay empty; an empty table gives an empty
-result. Very long texts count by their whole length. No other columns are read.
+Defined results: a null text has no bytes and checksum 0, and is equal to an empty one; a null in a
+dimension has its lowest coordinate, null ids come first and never place a group that has others.
+Repeated rows are rows of their own, in arbitrary order among themselves. With fewer rows than
+shards some shards stay empty; an empty table gives an empty result. Very long texts count by their
+whole length. No other columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ SHARDS = 24
 #: Added to the bytes of a text for its row.
 ROW_BYTES = 8
 BITS = 5
-DIMENSIONS = ("source", "lang", "size", "id")
+DIMENSIONS = ("source", "lang", "size")
 
 
 def _coordinates(rows: DataFrame, dimensions, bits: int) -> list[Column]:
@@ -49,6 +54,21 @@ def _coordinates(rows: DataFrame, dimensions, bits: int) -> list[Column]:
     return out
 
 
+def _placed_by_group(rows: DataFrame, at: list[Column]) -> DataFrame:
+    """``rows`` with the coordinates ``at``, those of equal texts from the row with the smallest id.
+
+    Only texts that occur more than once go through the join; a hot one combines before its count.
+    """
+    names = [f"at_{d}" for d in DIMENSIONS]
+    own = rows.select("id", "size", "text_crc32", "content", *at)
+    first = F.min(F.struct(F.col("id").isNull(), "id", *names)).alias("first")
+    groups = own.groupBy("content").agg(F.count("*").alias("n"), first).where("n > 1")
+    groups = store(groups.select("content", *[F.col(f"first.{n}").alias(f"of_{n}") for n in names]), "text-groups")
+    joined = own.join(groups, "content", "left")
+    shared = [F.coalesce(f"of_{n}", n).alias(n) for n in names]
+    return joined.select("id", "size", "text_crc32", "content", *shared)
+
+
 def curve_index(columns: list[Column], bits: int) -> Column:
     """The Hilbert index of columns of coordinates."""
 
@@ -78,12 +98,11 @@ def assign_shards(
             F.col(lang_col).alias("lang"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(data).alias("text_crc32"),
-            F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"),
+            F.unhex(F.md5(data)).alias("content"),
         ),
         "shard-rows",
     )
-    at = _coordinates(rows, DIMENSIONS, bits)
-    placed = rows.select("id", "size", "text_crc32", "content", *at)
+    placed = _placed_by_group(rows, _coordinates(rows, DIMENSIONS, bits))
     placed = placed.withColumn("curve", curve_index([F.col(f"at_{d}") for d in DIMENSIONS], bits))
     placed = placed.select("id", "size", "text_crc32", "content", "curve")
     placed = global_positions(placed, [F.col("curve"), F.col("content"), F.col("id")], "shards")
