@@ -65,3 +65,55 @@ BRIEF_DOCUMENT = f"""
             else ',"caveat":"Delivered items only."' end
     || case when {_KIND} = 0 then '' when {_KIND} = 10 then '}}]' else '}}' end
 """
+
+
+# A sound document, and what is changed in it to break one rule each; the number of a change is
+# the remainder of seller_id by the number of changes. The first leaves it sound.
+_SOUND = f"""
+    '{{"status":"Stable","headline":"Seller ' || {_ID} || '","summary":"sound","findings":['
+    || '{{"label":"orders","number":"1","detail":"counted"}},{{"label":"items","number":"2","detail":"counted"}},'
+    || '{{"label":"revenue","number":"3","detail":"summed"}}],"risks":["delay","price"],"actions":['
+    || '{{"priority":1,"action":"call","reason":"late","expected_impact":"fewer"}},'
+    || '{{"priority":2,"action":"audit","reason":"stock","expected_impact":"less"}},'
+    || '{{"priority":3,"action":"warn","reason":"price","expected_impact":"none"}}],"caveat":"given"}}'
+"""
+CHANGES = [
+    ("sound", "sound"),
+    ('"caveat":"given"}', '"caveat":"given"'),
+    ('"status":"Stable",', ""),
+    ('"status":"Stable"', '"status":"Great"'),
+    ('"status":"Stable"', '"status":1'),
+    ('"headline":', '"heading":'),
+    ('"summary":"sound"', '"summary":null'),
+    ('"caveat":"given"', '"caveat":["given"]'),
+    (',"caveat":"given"', ""),
+    (',{"label":"revenue","number":"3","detail":"summed"}', ""),
+    ('"detail":"summed"}', '"detail":"summed"},{"label":"x","number":"4","detail":"y"}'),
+    ('"label":"items",', ""),
+    ('"number":"2"', '"number":2'),
+    ('"detail":"summed"', '"detail":"summed","unit":"pieces"'),
+    ('"findings":[{', '"findings":["no object",{'),
+    ('["delay","price"]', "[]"),
+    ('["delay","price"]', '["a","b","c"]'),
+    ('["delay","price"]', '["a",2]'),
+    ('["delay","price"]', '"delay"'),
+    ('"priority":2', '"priority":4'),
+    ('"priority":2', '"priority":"2"'),
+    ('"priority":2', '"priority":1.5'),
+    ('"priority":1,', ""),
+    ('"reason":"stock"', '"reason":false'),
+    ('"expected_impact":"none"', '"expected_impact":"none","owner":"me"'),
+    ('"action":"warn"', '"act":"warn"'),
+    ('"caveat":"given"', '"caveat":"given","status":"Stable"'),
+    ('"caveat":"given"', '"caveat":"given","note":"more","extra":1'),
+    ('"actions":[{', '"actions":{"list":[{'),
+]
+
+
+def _changed() -> str:
+    kind = f"(seller_id % {len(CHANGES)})"
+    cases = " ".join(f"when {n} then replace({_SOUND}, '{old}', '{new}')" for n, (old, new) in enumerate(CHANGES))
+    return f"case {kind} {cases} end"
+
+
+CHANGED_DOCUMENT = _changed()

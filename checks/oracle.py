@@ -539,6 +539,27 @@ ORACLE_SQL["new_returning_display"] = _rounded(
     ORACLE_SQL["new_returning_kpis"],
     {"total_revenue": 2, "new_revenue": 2, "returning_revenue": 2, "returning_revenue_share_pct": 2},
 )
+# What each change of a sound document breaks, by the remainder of the seller's number.
+BROKEN = [
+    "", "$: malformed", "$.status: missing", "$.status: value", "$.status: type", "$.headline: missing|$.heading: extra",
+    "$.summary: type", "$.caveat: type", "$.caveat: missing", "$.findings: size", "$.findings: size",
+    "$.findings[1].label: missing", "$.findings[1].number: type", "$.findings[2].unit: extra",
+    "$.findings: size|$.findings[0]: type", "$.risks: size", "$.risks: size", "$.risks[1]: type", "$.risks: type",
+    "$.actions[1].priority: value", "$.actions[1].priority: type", "$.actions[1].priority: type",
+    "$.actions[0].priority: missing", "$.actions[1].reason: type", "$.actions[2].owner: extra",
+    "$.actions[2].action: missing|$.actions[2].act: extra", "$: malformed", "$.extra: extra|$.note: extra", "$: malformed",
+]
+AWKWARD_NOTE = """CASE orders % 7 WHEN 0 THEN 'plain' WHEN 1 THEN 'a, b' WHEN 2 THEN 'say "yes"'
+    WHEN 3 THEN 'two' || chr(10) || 'lines' WHEN 4 THEN '' WHEN 5 THEN NULL
+    ELSE ' "quoted, and' || chr(10) || 'more", back' || chr(92) || 'slash ' END"""
+ORACLE_SQL["csv_round_trip"] = _with(
+    ["states"], f"SELECT customer_state, orders, CAST(gmv AS DOUBLE) AS gmv, {AWKWARD_NOTE} AS note FROM states"
+)
+ORACLE_SQL["document_round_trip"] = ORACLE_SQL["brief_markdown"]
+ORACLE_SQL["brief_broken_paths"] = _with(
+    ["sellers"], f"SELECT seller_id, {BROKEN!r}[1 + seller_id % {len(BROKEN)}] AS broken FROM sellers"
+)
+
 ORACLE_SQL |= {
     "rfm_display": _rounded(ORACLE_SQL["rfm_kpis"], {"top_segment_revenue_share_pct": 2}),
     "retention_display": _rounded(

@@ -6,13 +6,14 @@ and means of inexact values are rounded to six places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.brief_documents import BRIEF_DOCUMENT
+from checks.brief_documents import BRIEF_DOCUMENT, CHANGED_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
 from vendastat.operators.ranks import global_places
 from vendastat.operators.sampling import fixed_sample
@@ -20,8 +21,9 @@ from vendastat.plans import briefs, customers, orders, reports
 from vendastat.plans.catalog import VIEW_ORDER, VIEWS, build_view, register_views
 from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, SAMPLE_SEED, build_report
 from vendastat.plans.fact import DELIVERED, order_fact
+from vendastat.session import shared_folder
 from vendastat.sources.retail import RetailStar, payments, reviews
-from vendastat.sources.sinks import json_payload, sort_columns
+from vendastat.sources.sinks import json_payload, read_csv, read_documents, sort_columns, write_csv, write_documents
 from vendastat.sources.tables import list_tables, register_tables, run_query, table_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,10 @@ SMALL_SAMPLE = 300
 # Less than the number of customers at that scale, so that the search for tiles narrows; and so few
 # that what is left is longer than the sample and ranked by ranges.
 SEARCH_SAMPLE = 200
+# Text that needs care in a CSV field, by the number of orders.
+AWKWARD_NOTE = """case orders % 7 when 0 then 'plain' when 1 then 'a, b' when 2 then 'say "yes"' when 3 then 'two
+lines' when 4 then '' when 5 then null else ' "quoted, and
+more", back\\\\slash ' end"""
 # Views with a declared order, and what tells their rows apart.
 ORDERED_VIEWS = {
     "vw_cohort_retention": ["cohort_month", "month_number"],
@@ -166,6 +172,13 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
     return checked.select("seller_id", "is_valid", "error", "error_detail", "is_strict")
 
 
+def broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule that a document breaks; one change planted in each."""
+    sellers = build_view("vw_seller_performance", star(spark, folder))
+    changed = sellers.select("seller_id", F.expr(CHANGED_DOCUMENT).alias("document"))
+    return briefs.broken_paths(changed).select("seller_id", F.array_join("broken", "|").alias("broken"))
+
+
 def rendered(spark: SparkSession, folder: str) -> DataFrame:
     accepted, _ = briefs.split_briefs(briefs.validate_briefs(documents(spark, folder)))
     named = briefs.parse_briefs(accepted).withColumns({
@@ -192,6 +205,23 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields with quotes, commas and line breaks, written as CSV and read back."""
+    states = build_view("vw_state_performance", star(spark, folder))
+    awkward = states.select("customer_state", "orders", "gmv", F.expr(AWKWARD_NOTE).alias("note"))
+    path = f"{shared_folder(spark)}/vendastat/csv-{uuid.uuid4().hex}"
+    write_csv(awkward, path, order=["-gmv", "customer_state"])
+    return comparable(read_csv(spark, path, awkward.schema))
+
+
+def document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Rendered documents, written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/vendastat/documents-{uuid.uuid4().hex}"
+    documents = rendered(spark, folder)
+    write_documents(documents, path, "seller_id")
+    return read_documents(spark, path, documents.schema)
+
+
 def state_payload(spark: SparkSession, folder: str) -> DataFrame:
     states = build_view("vw_state_performance", star(spark, folder))
     return json_payload(states.select("customer_state", "orders", "customers", "gmv"))
@@ -275,7 +305,10 @@ QUERIES: dict[str, Query] = {
     "state_payload_json": state_payload,
     "brief_parse": parsed,
     "brief_validation": validated,
+    "brief_broken_paths": broken,
     "brief_markdown": rendered,
+    "csv_round_trip": csv_round_trip,
+    "document_round_trip": document_round_trip,
     "list_tables": listed,
     "table_inventory": inventory,
     **{

@@ -12,8 +12,8 @@ from vendastat.plans.fact import order_fact
 from vendastat.schemas import TABLES
 from vendastat.session import cluster_conf, materialize, scan_bytes, shared_folder
 from vendastat.sources.retail import RetailStar
-from vendastat.sources.sinks import file_stem, json_payload, save_fact, write_csv, write_documents
-from vendastat.sources.tables import list_tables, read_star, run_query, table_inventory
+from vendastat.sources.sinks import file_stem, json_payload, read_csv, read_documents, save_fact, write_csv, write_documents
+from vendastat.sources.tables import list_tables, read_star, register_tables, run_query, table_inventory
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,29 @@ def test_cluster_settings_follow_the_input():
 
 def test_items_carry_every_declared_column(make_star):
     assert make_star([item(1)]).items.columns == TABLES["fact_order_items"].fieldNames()
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["", None, " ", '"', '""', ",", "\n", "a\nb", "a\r\nb", "\\", '\\"', "é, \"x\"\n,", " padded ", "null", "NULL", "'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    write_csv(df, f"{tmp_path}/csv", order=["n"])
+    assert [r["text"] for r in read_csv(spark, f"{tmp_path}/csv", df.schema).orderBy("n").collect()] == texts
+    assert read_csv(spark, f"{tmp_path}/csv", df.schema).dtypes == df.dtypes
+
+
+def test_documents_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", "# One\n\nline"), ("b", 'say "x"')], "key string, markdown string")
+    write_documents(df, f"{tmp_path}/lines", "key")
+    assert sorted(map(tuple, read_documents(spark, f"{tmp_path}/lines", df.schema).collect())) == sorted(map(tuple, df.collect()))
+    write_documents(df, f"{tmp_path}/files", "key", names=["a"])
+    schema = spark.createDataFrame([], "key string, value string").schema
+    (row,) = read_documents(spark, f"{tmp_path}/files", schema).collect()
+    assert (row["key"], row["value"].rstrip("\n")) == ("a", "# One\n\nline")
+
+
+def test_tables_are_listed(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/one")
+    for _ in range(2):  # a database of that name is replaced
+        register_tables(spark, "listed_here", {"b": f"{tmp_path}/one", "a": f"{tmp_path}/one"})
+        assert [r["table_name"] for r in list_tables(spark, "listed_here").collect()] == ["a", "b"]
+    assert spark.table("listed_here.a").count() == 3

@@ -81,3 +81,39 @@ def test_forms_agree_on_extreme_values(spark):
         for form in (True, False)
     ]
     assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("kind", ["tied", "mixed", "unknown"])
+def test_all_cuts_of_all_scores_take_three_passes(spark, kind, monkeypatch):
+    from vendastat.operators import tiles as module
+
+    df = frame(spark, [(k, x, None) for k, x, _ in rows_of(kind, 3000)], DDL)
+    passes, one_pass = [], module._one_pass
+
+    def counted(few):
+        passes.append(few._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return one_pass(few)
+
+    monkeypatch.setattr(module, "_one_pass", counted)
+    # Short intervals are sorted in one task, long ones by ranges, which reads the stored ranges once more.
+    assert tiles(df, distributed=True, sample_rows=1500) == tiles(df, distributed=False)
+    assert passes == [1, 1, 1]
+    passes.clear()
+    assert tiles(df, distributed=True, sample_rows=100) == tiles(df, distributed=False)
+    assert len(passes) == 3
+
+
+def test_places_are_those_of_a_plain_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from vendastat.operators.ranks import global_places
+
+    rnd = random.Random(1)
+    df = frame(spark, [(f"k{i}", rnd.choice([None, 1, 1, 1, rnd.randint(0, 99)]), None) for i in range(2000)], DDL)
+    order = [F.desc_nulls_first("x"), F.asc("key")]
+    got = global_places(df, order)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    assert global_places(df.limit(0), order).collect() == []

@@ -32,13 +32,25 @@ def test_fact_of_chosen_columns_joins_only_what_it_needs(make_star):
     assert order_fact(star, ["seller_state", "order_id"]).columns == ["order_id", "seller_state"]
 
 
-def test_distinct_counts_repeat_reduced_rows_only(make_fact):
-    fact = make_fact([item(1), item(1, n=2)])
-    for build in (performance.state_performance, performance.product_performance, performance.data_quality):
-        plan = build(fact)._jdf.queryExecution().executedPlan().toString()
-        assert "SortAggregate" not in plan
-        # The deeper a step, the later its line.
-        assert "HashAggregate" in plan.split("Expand", 1)[1]
+BY_ORDER = [name for name, view in VIEWS.items() if view.by_order]
+
+
+@pytest.mark.parametrize("name", BY_ORDER)
+def test_distinct_counts_repeat_no_rows(spark, name):
+    """No step that copies rows, no sorting aggregate, and three shuffles by key at most."""
+    plan = build_view(name, RetailStar(spark, str(DATA), status="delivered"))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("name", BY_ORDER)
+def test_customers_joined_early_or_late_give_the_same(make_fact, make_star, name):
+    items = [item(n % 7, n, customer=n % 7 % 4 or None, category_en=["a", "b", None][n % 3]) for n in range(40)]
+    people = [(1, "P", "t", "X"), (2, "P", "t", "Y"), (3, None, "t", None)]
+    early = VIEWS[name].build(make_fact(items, customers=people))
+    late = build_view(name, make_star(items, customers=people))
+    assert "Expand" not in early._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, early.collect())) == sorted(map(repr, late.collect()))
 
 
 def test_customer_metrics_join_the_fact_once(make_fact):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendastat.functions.numeric import to_number
+from vendastat.functions.shapes import Fields, Items, Text, Whole, broken_rules
 
 # Keys, allowed statuses and list sizes of a brief document.
 REQUIRED_KEYS = ["actions", "caveat", "findings", "headline", "risks", "status", "summary"]
@@ -28,9 +29,18 @@ BRIEF_SCHEMA = """
     caveat string
 """
 
-# Exact shapes the strict form asks for, as Spark describes them.
-FINDING_SHAPE = "OBJECT<detail: STRING, label: STRING, number: STRING>"
-ACTION_SHAPE = "OBJECT<action: STRING, expected_impact: STRING, priority: BIGINT, reason: STRING>"
+# The declared shape of a brief document, which the strict form asks for.
+BRIEF_SHAPE = Fields(
+    status=Text(one_of=tuple(STATUSES)),
+    headline=Text(),
+    summary=Text(),
+    findings=Items(Fields(label=Text(), number=Text(), detail=Text()), FINDINGS, FINDINGS),
+    risks=Items(Text(), MIN_RISKS, MAX_RISKS),
+    actions=Items(
+        Fields(priority=Whole(one_of=(1, 2, 3)), action=Text(), reason=Text(), expected_impact=Text()), ACTIONS, ACTIONS
+    ),
+    caveat=Text(),
+)
 
 # Headings and default caveat of the rendered text.
 TITLE = "# Stakeholder Brief — "
@@ -88,35 +98,21 @@ def validate_briefs(df: DataFrame, document: str = "document") -> DataFrame:
     )
 
 
+def broken_paths(df: DataFrame, document: str = "document") -> DataFrame:
+    """Adds ``broken``: every rule of ``BRIEF_SHAPE`` that a document breaks, as ``path: what``.
+
+    Text that is no JSON, or repeats a key, breaks the rule on the whole document.
+    """
+    return df.withColumn("broken", broken_rules(F.try_parse_json(document), BRIEF_SHAPE))
+
+
 def validate_briefs_strictly(df: DataFrame, document: str = "document") -> DataFrame:
     """``validate_briefs`` plus ``is_strict``: exact nested keys and types, nothing extra.
 
     Priorities must be the whole numbers 1 to 3. Repeated keys are not accepted.
     """
-    doc = F.try_parse_json(document)
-
-    def every(path: str, test) -> Column:
-        return F.coalesce(F.forall(F.try_variant_get(doc, path, "array<variant>"), test), F.lit(False))
-
-    def text(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "STRING", F.lit(False))
-
-    def priority(item: Column) -> Column:
-        return F.try_variant_get(item, "$.priority", "int").between(1, 3)
-
-    keys = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
-    strict = (
-        F.col("is_valid")
-        & F.coalesce(F.sort_array(keys) == F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.lit(False))
-        & text("$.headline")
-        & text("$.summary")
-        & text("$.status")
-        & text("$.caveat")
-        & every("$.risks", lambda x: F.schema_of_variant(x) == "STRING")
-        & every("$.findings", lambda x: F.schema_of_variant(x) == FINDING_SHAPE)
-        & every("$.actions", lambda x: (F.schema_of_variant(x) == ACTION_SHAPE) & priority(x))
-    )
-    return validate_briefs(df, document).withColumn("is_strict", F.coalesce(strict, F.lit(False)))
+    strict = F.col("is_valid") & (F.size("broken") == 0)
+    return broken_paths(validate_briefs(df, document), document).withColumn("is_strict", strict).drop("broken")
 
 
 def split_briefs(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

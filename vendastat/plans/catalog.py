@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vendastat.operators.lookup import lookup_join
 from vendastat.plans import customers, performance
-from vendastat.plans.fact import FACT_COLUMNS, order_fact
+from vendastat.plans.fact import CUSTOMER_COLUMNS, FACT_COLUMNS, order_fact
+from vendastat.plans.performance import ACCOUNT
 from vendastat.schemas import StarSchema
 
 _CUSTOMER = ["customer_unique_id", "order_id", "order_purchase_timestamp", "total_item_value"]
@@ -17,10 +19,15 @@ _MONTH = ["customer_unique_id", "purchase_month_date", "total_item_value"]
 
 @dataclass(frozen=True)
 class View:
-    """How to build a view from the order fact, and the fact columns it reads."""
+    """How to build a view from the order fact, and the fact columns it reads.
 
-    build: Callable[[DataFrame], DataFrame]
+    With ``by_order``, ``build`` also takes a function that joins the customer table later than the
+    fact does, on reduced rows.
+    """
+
+    build: Callable[..., DataFrame]
     columns: list[str] = field(default_factory=list)
+    by_order: bool = False
 
 
 VIEWS = {
@@ -34,6 +41,7 @@ VIEWS = {
             "order_id", "customer_unique_id", "purchase_month_date", "year_month", "total_item_value",
             "price", "freight_value", "review_score", "delivery_days", "delivery_status",
         ],
+        by_order=True,
     ),
     "vw_product_performance": View(
         performance.product_performance,
@@ -41,6 +49,7 @@ VIEWS = {
             "order_id", "customer_unique_id", "product_category_english", "price", "freight_value",
             "review_score",
         ],
+        by_order=True,
     ),
     "vw_seller_performance": View(
         performance.seller_performance,
@@ -55,11 +64,13 @@ VIEWS = {
             "order_id", "customer_unique_id", "customer_state", "total_item_value", "review_score",
             "delivery_days", "delivery_status",
         ],
+        by_order=True,
     ),
     "vw_new_vs_returning": View(customers.new_vs_returning, _MONTH),
     "vw_data_quality": View(
         performance.data_quality,
         ["customer_unique_id", "order_purchase_timestamp", "product_category_english"],
+        by_order=True,
     ),
 }
 PAYMENT_VIEW = "vw_payment_analysis"
@@ -87,7 +98,17 @@ def build_view(name: str, star: StarSchema, count_customers: bool = True) -> Dat
         return performance.payment_analysis(star.payments)
     view = VIEWS[name]
     columns = [c for c in view.columns if count_customers or c != performance.CUSTOMER]
-    return view.build(order_fact(star, columns))
+    of_customer = [c for c in columns if c in CUSTOMER_COLUMNS]
+    if not (view.by_order and of_customer):
+        return view.build(order_fact(star, columns))
+    narrow = star.narrowed([*columns, ACCOUNT])
+    known = narrow.customers.select(ACCOUNT, *of_customer)
+
+    def with_customers(rows: DataFrame) -> DataFrame:
+        return lookup_join(rows, known, ACCOUNT, counted=star.key_rows(ACCOUNT))
+
+    columns = [*[c for c in columns if c not in of_customer], ACCOUNT]
+    return view.build(order_fact(star, columns), with_customers)
 
 
 def register_views(

@@ -1,16 +1,30 @@
-"""Monthly, category, seller, state and payment performance, and the data-quality profile."""
+"""Monthly, category, seller, state and payment performance, and the data-quality profile.
+
+Where orders and customers are both counted, items are first reduced to one row per order. From
+the star schema, that row keeps the number of the customer's account, and the customer table is
+joined there: on orders instead of items. Orders are then counted as rows and customers as the only
+distinct count, so that no plan repeats its rows. From a stored fact, which has the customer in every
+item, the row keeps the customer itself.
+
+An order has one account (of several, which no sound fact has, the largest counts).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendastat.functions.numeric import exact_mean, percent_of_rows
 
-CUSTOMER = "customer_unique_id"
+ACCOUNT, CUSTOMER, STATE = "customer_id", "customer_unique_id", "customer_state"
 ON_TIME = "On Time"
 
 
+#: Adds the columns of the customer to rows with an account.
+Lookup = Callable[[DataFrame], DataFrame]
+
 # Fact column -> name of its sum in the reduced rows; the count of known values ends with "_n".
 _SUMMED = {
     "total_item_value": "value",
@@ -21,22 +35,20 @@ _SUMMED = {
 }
 
 
-def _reduced(fact: DataFrame, *keys: Column | str) -> DataFrame:
-    """Sums and counts per key, order and (where the fact has it) customer.
-
-    Two counts of distinct values make the plan repeat every row they are given, and the
-    maximum of a text is found by sorting: both are cheaper on these rows than on all items.
-    """
-    by = [*keys, "order_id", *([CUSTOMER] if CUSTOMER in fact.columns else [])]
+def _orders(fact: DataFrame, customers: Lookup | None, *keys: Column | str) -> DataFrame:
+    """Sums and counts per key and order, with the columns of its customer where they are to be had."""
     summed = {c: name for c, name in _SUMMED.items() if c in fact.columns}
     status = F.col("delivery_status")
     flags = [F.count_if(status == ON_TIME).alias("on_time"), F.count_if(status != ON_TIME).alias("late")]
-    return fact.groupBy(*by).agg(
+    who = [F.max(c).alias(c) for c in (ACCOUNT if customers else CUSTOMER, STATE) if c in fact.columns]
+    orders = fact.groupBy(*keys, "order_id").agg(
         F.count("*").alias("items"),
         *[F.sum(c).alias(name) for c, name in summed.items()],
         *[F.count(c).alias(f"{name}_n") for c, name in summed.items()],
         *(flags if "delivery_status" in fact.columns else []),
+        *who,
     )
+    return customers(orders) if customers else orders
 
 
 def _mean(name: str) -> Column:
@@ -44,60 +56,48 @@ def _mean(name: str) -> Column:
     return F.try_divide(F.sum(name).cast("double"), F.sum(f"{name}_n"))
 
 
-def monthly_kpis(fact: DataFrame) -> DataFrame:
+def _unique(rows: DataFrame, name: str) -> list[Column]:
+    return [F.count_distinct(CUSTOMER).alias(name)] if CUSTOMER in rows.columns else []
+
+
+def monthly_kpis(fact: DataFrame, customers: Lookup | None = None) -> DataFrame:
     """Order-grain KPIs per month.
 
     An order is on time if all its items with a known status are; an order without any known
-    status counts as late. Ratings and delivery days are means of order means. From a fact
-    without customers, ``unique_customers`` is left out; the customer table is then not needed.
+    status counts as late. Ratings and delivery days are means of order means. Without customers,
+    ``unique_customers`` is left out; the customer table is then not needed.
     """
-    customer = [F.max(CUSTOMER).alias("customer")] if CUSTOMER in fact.columns else []
-    unique = [F.count_distinct("customer").alias("unique_customers")] if customer else []
-    orders = (
-        _reduced(fact, F.col("purchase_month_date").alias("purchase_month"), "year_month")
-        .groupBy("order_id", "purchase_month", "year_month")
-        .agg(
-            *customer,
-            F.sum("value").alias("value"),
-            F.sum("price").alias("product"),
-            F.sum("freight").alias("freight"),
-            _mean("review").alias("review"),
-            _mean("days").alias("days"),
-            ((F.sum("on_time") > 0) & (F.sum("late") == 0)).alias("on_time"),
-        )
-    )
+    orders = _orders(fact, customers, F.col("purchase_month_date").alias("purchase_month"), "year_month")
+    on_time = (F.col("on_time") > 0) & (F.col("late") == 0)
+    mean = lambda name: F.avg(F.try_divide(F.col(name).cast("double"), F.col(f"{name}_n")))
     return orders.groupBy("purchase_month", "year_month").agg(
         F.count("*").alias("total_orders"),
-        *unique,
+        *_unique(orders, "unique_customers"),
         F.sum("value").alias("gmv"),
         (F.sum("value").cast("double") / F.count("*")).alias("aov"),
-        F.sum("product").alias("product_revenue"),
+        F.sum("price").alias("product_revenue"),
         F.sum("freight").alias("freight_revenue"),
-        F.avg("review").alias("avg_review_score"),
-        F.avg("days").alias("avg_delivery_days"),
-        percent_of_rows(F.col("on_time")).alias("on_time_pct"),
+        mean("review").alias("avg_review_score"),
+        mean("days").alias("avg_delivery_days"),
+        percent_of_rows(on_time).alias("on_time_pct"),
     )
 
 
-def product_performance(fact: DataFrame) -> DataFrame:
+def product_performance(fact: DataFrame, customers: Lookup | None = None) -> DataFrame:
     """Orders, items, revenue, freight, price, rating and buyers per category.
 
-    From a fact without customers, ``unique_buyers`` is left out.
+    Without customers, ``unique_buyers`` is left out.
     """
-    buyers = [F.count_distinct(CUSTOMER).alias("unique_buyers")] if CUSTOMER in fact.columns else []
     category = F.col("product_category_english")
-    return (
-        _reduced(fact.where(category.isNotNull()), category.alias("category"))
-        .groupBy("category")
-        .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.sum("items").alias("items_sold"),
-            F.sum("price").alias("revenue"),
-            F.sum("freight").alias("total_freight"),
-            _mean("price").alias("avg_price"),
-            _mean("review").alias("avg_rating"),
-            *buyers,
-        )
+    orders = _orders(fact.where(category.isNotNull()), customers, category.alias("category"))
+    return orders.groupBy("category").agg(
+        F.count("*").alias("orders"),
+        F.sum("items").alias("items_sold"),
+        F.sum("price").alias("revenue"),
+        F.sum("freight").alias("total_freight"),
+        _mean("price").alias("avg_price"),
+        _mean("review").alias("avg_rating"),
+        *_unique(orders, "unique_buyers"),
     )
 
 
@@ -113,14 +113,15 @@ def seller_performance(fact: DataFrame) -> DataFrame:
     )
 
 
-def state_performance(fact: DataFrame) -> DataFrame:
+def state_performance(fact: DataFrame, customers: Lookup | None = None) -> DataFrame:
     """Orders, customers, GMV, mean item value, delivery and rating per customer state."""
+    orders = _orders(fact, customers)
     return (
-        _reduced(fact.where(F.col("customer_state").isNotNull()), "customer_state")
-        .groupBy("customer_state")
+        orders.where(F.col(STATE).isNotNull())
+        .groupBy(STATE)
         .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct(CUSTOMER).alias("customers"),
+            F.count("*").alias("orders"),
+            *_unique(orders, "customers"),
             F.sum("value").alias("gmv"),
             _mean("value").alias("aov"),
             _mean("days").alias("avg_delivery_days"),
@@ -140,24 +141,30 @@ def payment_analysis(payments: DataFrame) -> DataFrame:
     )
 
 
-# Metric names of the profile, and the aggregate each one shows.
+# Metric names of the profile, and the aggregate over categories each one shows.
+UNIQUE_CUSTOMERS = "Unique customers"
 PROFILE = [
     ("Total delivered order items", lambda: F.coalesce(F.sum("items"), F.lit(0))),
-    ("Unique customers", lambda: F.count_distinct("customer_unique_id")),
+    (UNIQUE_CUSTOMERS, None),
     ("Date range start", lambda: F.min("first")),
     ("Date range end", lambda: F.max("last")),
-    ("Categories with data", lambda: F.count_distinct("product_category_english")),
+    ("Categories with data", lambda: F.count("category")),
 ]
 
 
-def data_quality(fact: DataFrame) -> DataFrame:
-    """Five figures of the fact as text, from a single pass.
+def data_quality(fact: DataFrame, customers: Lookup | None = None) -> DataFrame:
+    """Five figures of the fact as text.
 
-    Items are reduced per customer and category before the two distinct counts repeat them.
+    One narrow pass reduces the items to a row per category, another to a row per customer (or
+    account, before the customer table is joined): two counts without a repeated row.
     """
     purchased = "order_purchase_timestamp"
-    reduced = fact.groupBy("customer_unique_id", "product_category_english").agg(
+    by_category = fact.groupBy(F.col("product_category_english").alias("category")).agg(
         F.count("*").alias("items"), F.min(purchased).alias("first"), F.max(purchased).alias("last")
     )
-    figures = reduced.agg(*[figure().cast("string").alias(name) for name, figure in PROFILE])
-    return figures.unpivot([], [name for name, _ in PROFILE], "metric", "value")
+    who = fact.select(ACCOUNT if customers else CUSTOMER).distinct()
+    unique = (customers(who) if customers else who).agg(F.count_distinct(CUSTOMER)).scalar()
+    figures = by_category.agg(*[figure().cast("string").alias(name) for name, figure in PROFILE if figure])
+    figures = figures.withColumn(UNIQUE_CUSTOMERS, unique.cast("string"))
+    rows = [F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name, _ in PROFILE]
+    return figures.select(F.inline(F.array(*rows)))

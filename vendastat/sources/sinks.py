@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A quote inside a field is doubled, an empty text is quoted and NULL is not there at all.
+CSV = {
+    "header": True, "encoding": "UTF-8", "escape": '"', "nullValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+# What the reader gives for a quoted empty text, which it would take for NULL otherwise.
+_EMPTY = "\x01empty\x01"
+
+
 def sort_columns(order: list[str]) -> list[Column]:
     """Sort columns from names, "-" in front for descending.
 
@@ -28,7 +38,15 @@ def write_csv(df: DataFrame, path: str, small: bool = False, order: list[str] |
         df = df.sortWithinPartitions(*columns) if columns else df
     elif columns:
         df = df.orderBy(*columns)
-    df.write.option("header", True).option("encoding", "UTF-8").csv(path)
+    df.write.options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote, with the declared types; fields may hold quotes, commas and line breaks."""
+    options = {**CSV, "multiLine": True, "enforceSchema": False, "mode": "FAILFAST", "emptyValue": _EMPTY}
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    return rows.withColumns({c: F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)) for c in texts}) if texts else rows
 
 
 def write_documents(
@@ -46,6 +64,14 @@ def write_documents(
         named.select(key, F.col(text).alias("value")).write.partitionBy(key).text(path)
 
 
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_documents`` wrote: JSON lines, or text files in one folder per key."""
+    names = schema.fieldNames()
+    if len(names) == 2 and "value" not in names:
+        return spark.read.schema(schema).json(path, mode="FAILFAST")
+    return spark.read.text(path, wholetext=True).select(*names)
+
+
 def file_stem(context: Column) -> Column:
     """Lower-case file name part of a report title."""
     spaced = F.replace(F.lower(context), F.lit(" "), F.lit("_"))
