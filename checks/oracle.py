@@ -555,6 +555,8 @@ AWKWARD_NOTE = """CASE orders % 7 WHEN 0 THEN 'plain' WHEN 1 THEN 'a, b' WHEN 2
 ORACLE_SQL["csv_round_trip"] = _with(
     ["states"], f"SELECT customer_state, orders, CAST(gmv AS DOUBLE) AS gmv, {AWKWARD_NOTE} AS note FROM states"
 )
+ORACLE_SQL["published_monthly_kpis"] = ORACLE_SQL["monthly_kpis"]
+ORACLE_SQL["published_rfm_segments"] = ORACLE_SQL["rfm_segments"]
 ORACLE_SQL["document_round_trip"] = ORACLE_SQL["brief_markdown"]
 ORACLE_SQL["brief_broken_paths"] = _with(
     ["sellers"], f"SELECT seller_id, {BROKEN!r}[1 + seller_id % {len(BROKEN)}] AS broken FROM sellers"

@@ -17,7 +17,7 @@ from checks.brief_documents import BRIEF_DOCUMENT, CHANGED_DOCUMENT
 from vendastat.functions.numeric import coerce_numeric, normalize_percent, rounded
 from vendastat.operators.ranks import global_places
 from vendastat.operators.sampling import fixed_sample
-from vendastat.plans import briefs, customers, orders, reports
+from vendastat.plans import briefs, customers, orders, published, reports
 from vendastat.plans.catalog import VIEW_ORDER, VIEWS, build_view, register_views
 from vendastat.plans.dashboard import REPORT_ORDER, REPORTS, SAMPLE_SEED, build_report
 from vendastat.plans.fact import DELIVERED, order_fact
@@ -205,6 +205,17 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def published_views(name: str, digits: int | None = None) -> Query:
+    """A lasting view of a database, read by a second session."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        database = f"vendastat_{uuid.uuid4().hex[:8]}"
+        published.publish(spark, star(spark, folder), database)
+        return comparable(spark.newSession().table(f"{database}.{name}"), digits)
+
+    return run
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Fields with quotes, commas and line breaks, written as CSV and read back."""
     states = build_view("vw_state_performance", star(spark, folder))
@@ -307,6 +318,8 @@ QUERIES: dict[str, Query] = {
     "brief_validation": validated,
     "brief_broken_paths": broken,
     "brief_markdown": rendered,
+    "published_monthly_kpis": published_views("vw_monthly_kpis", 6),
+    "published_rfm_segments": published_views("vw_rfm_segments"),
     "csv_round_trip": csv_round_trip,
     "document_round_trip": document_round_trip,
     "list_tables": listed,

@@ -92,6 +92,15 @@ def test_order_shared_by_two_customers_counts_for_the_greater(make_fact):
     assert dicts(performance.monthly_kpis(fact))[0]["unique_customers"] == 1
 
 
+def test_order_shared_by_two_customers_counts_for_each_state(make_star):
+    items = [item(1, customer=1), item(1, 2, customer=2), item(2, customer=2)]
+    star = make_star(items, customers=[(1, "A", "t", "X"), (2, "B", "t", "Y")])
+    rows = {r["customer_state"]: (r["orders"], r["customers"]) for r in dicts(build_view("vw_state_performance", star))}
+    assert rows == {"X": (1, 1), "Y": (2, 1)}
+    (toys,) = dicts(build_view("vw_product_performance", star))
+    assert toys["unique_buyers"] == 2 and toys["items_sold"] == 3
+
+
 def test_reports_without_customers_skip_their_join(make_star):
     star = make_star([item(1)])
     for name in ("vw_monthly_kpis", "vw_product_performance"):
