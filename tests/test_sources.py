@@ -13,7 +13,7 @@ from vendastat.schemas import TABLES
 from vendastat.session import cluster_conf, materialize, scan_bytes, shared_folder
 from vendastat.sources.retail import RetailStar
 from vendastat.sources.sinks import file_stem, json_payload, read_csv, read_documents, save_fact, write_csv, write_documents
-from vendastat.sources.tables import list_tables, read_star, register_tables, run_query, table_inventory
+from vendastat.sources.tables import list_tables, range_predicates, read_star, register_tables, run_query, table_inventory
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +171,12 @@ def test_tables_are_listed(spark, tmp_path):
         register_tables(spark, "listed_here", {"b": f"{tmp_path}/one", "a": f"{tmp_path}/one"})
         assert [r["table_name"] for r in list_tables(spark, "listed_here").collect()] == ["a", "b"]
     assert spark.table("listed_here.a").count() == 3
+
+
+@pytest.mark.parametrize("values, cuts", [([None, 0, 5, 9, 10, 11, 99], [5, 10]), ([None, "", "a", "it's", "z"], ["b", "it's"]), ([1, None], [])])
+def test_slices_of_a_table_take_every_row_once(spark, values, cuts):
+    kind = "string" if isinstance(values[-2], str) else "bigint"
+    df = spark.createDataFrame([(v,) for v in values], f"id {kind}")
+    parts = [[r["id"] for r in df.where(p).collect()] for p in range_predicates("id", cuts)]
+    assert len(parts) == len(cuts) + 1
+    assert sorted(map(repr, sum(parts, []))) == sorted(map(repr, values))

@@ -16,15 +16,41 @@ def read_star(spark: SparkSession, path: str) -> StarSchema:
     return StarSchema(*[conform(spark.read.parquet(f"{path}/{t}"), schema) for t, schema in TABLES.items()])
 
 
+def range_predicates(column: str, cuts: list) -> list[str]:
+    """SQL conditions that part a table by the ranges between ``cuts``; each row meets exactly one.
+
+    Rows without a value are in the first range. ``cuts`` are whole numbers or text, in the order
+    the database sorts them.
+    """
+
+    def literal(value) -> str:
+        return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+    bounds = [literal(c) for c in cuts]
+    if not bounds:
+        return ["1 = 1"]
+    first = f"{column} < {bounds[0]} OR {column} IS NULL"
+    inner = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(bounds, bounds[1:])]
+    return [first, *inner, f"{column} >= {bounds[-1]}"]
+
+
 def read_star_jdbc(
-    spark: SparkSession, url: str, first_day: str, last_day: str, partitions: int, **options: str
+    spark: SparkSession,
+    url: str,
+    first_day: str,
+    last_day: str,
+    partitions: int,
+    cuts: dict[str, tuple[str, list]] | None = None,
+    **options: str,
 ) -> StarSchema:
-    """The four tables from a database.
+    """The four tables from a database, each in parallel slices.
 
-    The fact is read in ``partitions`` parallel slices of the purchase time; ``first_day``
-    and ``last_day`` only set the stride, rows outside are still read.
+    The fact is read in ``partitions`` slices of the purchase time; ``first_day`` and ``last_day``
+    only set the stride, rows outside are still read. ``cuts`` gives for other tables the column
+    to slice by and where (see ``range_predicates``), such as ``{"dim_customers": ("customer_id",
+    [10**6, 2 * 10**6])}``; a table without is read by one connection.
     """
-    reader = spark.read.format("jdbc").option("url", url).option("preferTimestampNTZ", True).options(**options)
+    fixed = {"preferTimestampNTZ": "true", **options}
     slices = {
         "partitionColumn": "order_purchase_timestamp",
         "lowerBound": first_day,
@@ -33,10 +59,13 @@ def read_star_jdbc(
     }
     frames = []
     for table, schema in TABLES.items():
-        extra = slices if table == "fact_order_items" else {}
         typed = [f for f in schema.fields if f.name not in ID_COLUMNS]
-        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed)
-        loaded = reader.option("dbtable", table).option("customSchema", types).options(**extra).load()
+        types = {"customSchema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed)}
+        if cuts and table in cuts:
+            loaded = spark.read.jdbc(url, table, predicates=range_predicates(*cuts[table]), properties={**fixed, **types})
+        else:
+            extra = slices if table == "fact_order_items" else {}
+            loaded = spark.read.format("jdbc").options(url=url, dbtable=table, **fixed, **types, **extra).load()
         frames.append(conform(loaded, schema))
     return StarSchema(*frames)
 
