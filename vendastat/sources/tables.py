@@ -86,8 +86,12 @@ def register_tables(spark: SparkSession, database: str, paths: dict[str, str]) -
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Table and view names of a database (temporary views included), by name."""
-    names = spark.sql("SHOW TABLES IN IDENTIFIER(:db)", {"db": database}) if database else spark.sql("SHOW TABLES")
+    """Table and view names by name: of a database, or of the current one with the session's temporary views."""
+    if database:
+        # Temporary views belong to the session and are listed with every database.
+        names = spark.sql("SHOW TABLES IN IDENTIFIER(:db)", {"db": database}).where("NOT isTemporary")
+    else:
+        names = spark.sql("SHOW TABLES")
     return names.select(F.col("tableName").alias("table_name")).distinct().orderBy("table_name")
 
 
