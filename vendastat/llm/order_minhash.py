@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import WordHasher, mix, segments, word_grams
-from .common import matching_rows, partitions, possible_rows, store, text_or_empty
+from .common import matching_rows, partitions, possible_rows, release, store, text_or_empty, tidy
 from .components import components
 from .embedding_dedup import join_roots
 
@@ -47,8 +47,8 @@ SKETCHES, MINIMA = 16, 3
 SIGNATURE = 64
 #: Agreeing share of the signature below which texts can't be alike: five deviations below 0.8.
 LEAST_SHARE = 0.55
-#: Members of a bucket on either side of a tile.
-TILE_MEMBERS = 4096
+#: Members of a bucket on either side of a tile, and bytes of all their k-mers.
+TILE_MEMBERS, TILE_BYTES = 4096, 16 << 20
 NONE = np.iinfo(np.uint64).max
 
 
@@ -161,6 +161,7 @@ def near_duplicate_classes(
     texts = texts.withColumn("hash", F.md5(F.encode("text", "UTF-8")))
     kind = texts.schema["id"].dataType.simpleString()
 
+    @tidy
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
@@ -231,6 +232,7 @@ def _hub_links(texts: DataFrame, members: DataFrame, classes: DataFrame, similar
     both = pairs.join(known, "rep").join(known.select(F.col("rep").alias("hub"), F.col("kmers").alias("hub_kmers")), "hub")
     kind = classes.schema["rep"].dataType.simpleString()
 
+    @tidy
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             alike = [
@@ -263,6 +265,7 @@ def _all_kmers(texts: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
     same = (rows["hash"] == chosen["rep_hash"]) & rows["id"].eqNullSafe(chosen["id"])
     found = rows.join(chosen, same).select("rep", "text")
 
+    @tidy
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
@@ -318,7 +321,11 @@ def _tile_links(
     if flagged.isEmpty():
         return flagged.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     known = _all_kmers(texts, classes, flagged.select("rep").distinct(), words)
-    counts = store(flagged.groupBy("bucket").agg(F.count("*").alias("members")), "flagged-sizes")
+    # Members are dealt to parts by hash, so their bytes per part follow their number.
+    sizes = flagged.select("bucket", "rep").join(classes.select("rep", "size"), "rep")
+    counts = store(sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("kmers")), "flagged-sizes")
+    by_bytes = F.ceil(F.col("kmers") * 8 / TILE_BYTES * tile_members)
+    counts = counts.select("bucket", F.greatest("n", by_bytes).cast("bigint").alias("members"))
     full = flagged.drop("members").join(counts, "bucket").join(known, "rep")
     tiles = in_tiles(full, "members", tile_members)
 
@@ -329,6 +336,8 @@ def _tile_links(
         roots = alike_sets(sequences, start, similarity)
         rep = tile["rep"].to_numpy()
         told = np.flatnonzero(roots != np.arange(len(tile)))
+        if len(tile) > 256:
+            release()
         return pd.DataFrame({"a": rep[told], "b": rep[roots[told]]})
 
     found = tiles.groupBy("bucket", "first_part", "second_part").applyInPandas(compare, f"a {kind}, b {kind}")
@@ -367,15 +376,29 @@ def alike_sets(sequences: list[np.ndarray], start: np.ndarray, similarity: float
     first = np.full(start.max() + 1 if len(start) else 0, len(sequences))
     np.minimum.at(first, start, roots)
     roots = first[start]
-    codes = np.unique(np.concatenate(sequences), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sequences)), sizes)
-    order = np.argsort(codes, kind="stable")
-    holders, bounds = owner[order], np.searchsorted(codes[order], np.arange(codes.max() + 2 if len(codes) else 1))
-    begins = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
+    values = np.concatenate(sequences)
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del values, ordered
+    # Equal k-mers lie together, by sequence; those of earlier sequences lie from `first` to `place`.
+    holders = np.repeat(np.arange(len(sequences), dtype=np.int32), sizes)[order]
+    place, first = np.empty(len(order), dtype=np.int32), np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    first[order] = np.flatnonzero(new).astype(np.int32)[np.cumsum(new) - 1]
+    del order, new
     for n in range(1, len(sequences)):
-        mine = codes[begins[n] : begins[n] + sizes[n]]
-        lists = [holders[bounds[c] : bounds[c + 1]] for c in mine]
-        common = np.bincount(np.concatenate(lists), minlength=len(sequences))[:n] if lists else np.zeros(n, dtype=int)
+        if (roots[:n] == roots[n]).all():
+            continue
+        mine = slice(ends[n] - sizes[n], ends[n])
+        counts = place[mine] - first[mine]
+        upto = np.cumsum(counts, dtype=np.int64)
+        if not len(upto) or not upto[-1]:
+            continue
+        at = np.repeat(first[mine] - (upto - counts), counts) + np.arange(upto[-1])
+        common = np.bincount(holders[at], minlength=n)
         enough = np.flatnonzero(common >= similarity * (sizes[:n] + sizes[n]) / (1 + similarity) - 1e-9)
         for m in enough[np.argsort(-common[enough], kind="stable")]:
             if roots[m] != roots[n] and aligned(sequences[m], sequences[n], similarity):
