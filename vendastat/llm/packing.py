@@ -6,7 +6,8 @@ very long or written in a script without spaces (``arrays.pieces``). Documents a
 are neighbours in the stream of tokens, and the stream is cut every 4096 tokens: no sequence
 but the last has padding. A document that crosses a cut is in two sequences or more.
 
-The text is shuffled once. Each range is tokenised in curve order and stored with running
+The text is read twice, once for the keys of a sample that places the ranges, and shuffled once;
+keys are made once. Each range is tokenised in curve order and stored with running
 token counts; only one sum per range meets in one place, after which every stored row knows
 its place in the whole stream and is cut into pieces where it lies.
 
@@ -18,8 +19,6 @@ and cut like others. An empty table gives an empty result. Only the id and the t
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import WordHasher, mix, segments
-from .common import partitions, store
+from .common import kept, partitions, release, store, tidy
 from .hilbert import hilbert_index
 
 SEQUENCE_TOKENS = 4096
@@ -37,7 +36,9 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 VECTOR_SIZE, DIMENSIONS, BITS = 256, 3, 16
 #: Words whose tokens a worker remembers before it starts anew, and characters it splits at once.
-MEMO_WORDS, BATCH_CHARACTERS = 2_000_000, 1 << 21
+MEMO_WORDS, BATCH_CHARACTERS = 2_000_000, 900_000
+#: Documents that place the ranges of the curve, about; they decide no sequence, only how even the ranges are.
+SAMPLE_DOCUMENTS = 20_000
 #: Punctuation that ends a plain word.
 ENDS = ".,"
 
@@ -181,10 +182,7 @@ class Tokens:
 
 def worker_tokens(path: str) -> Tokens:
     """One ``Tokens`` for all tasks that a Python worker runs, so words are learnt once."""
-    kept = sys.modules.setdefault("_vendastat_kept", types.ModuleType("_vendastat_kept"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.tokens = path, Tokens(path)
-    return kept.tokens
+    return kept(f"tokens of {path}", lambda: Tokens(path))
 
 
 def id_width(tokenizer) -> int:
@@ -194,31 +192,69 @@ def id_width(tokenizer) -> int:
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Documents in curve order, stored: id, ids, tokens, part_no, before (tokens ahead in the part)."""
-    matrix = projection()
+    matrix, parts = projection(), partitions(docs.sparkSession)
 
-    @F.pandas_udf(T.LongType())
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = WordHasher()
-        for texts in batches:
-            yield pd.Series(curve_keys(texts.tolist(), matrix, hasher))
+    def key_of(cuts: np.ndarray):
+        """(curve, part) of texts: the part is the range between two cuts (curve, row)."""
+
+        @F.pandas_udf("curve bigint, part int")
+        def key(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            hasher = WordHasher()
+            try:
+                for texts, rows in batches:
+                    curve = curve_keys(texts.tolist(), matrix, hasher)
+                    yield pd.DataFrame({"curve": curve, "part": range_of(curve, rows.to_numpy(np.int64), cuts)})
+            finally:
+                del hasher
+                release()
+
+        return key("text", "row")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, before = worker_tokens(path), 0
         end = np.array([end_id], dtype=tokens.kind).tobytes()
-        for batch in batches:
-            ids = [found + end for found in tokens.encode(batch["text"].tolist())]
-            counts = np.array([len(b) for b in ids], dtype=np.int64) // tokens.kind.itemsize
-            ahead = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            yield pd.DataFrame({"id": batch["id"], "ids": ids, "tokens": counts, "before": ahead})
+        try:
+            for batch in batches:
+                ids = [found + end for found in tokens.encode(batch["text"].tolist())]
+                counts = np.array([len(b) for b in ids], dtype=np.int64) // tokens.kind.itemsize
+                ahead = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                yield pd.DataFrame({"id": batch["id"], "ids": ids, "tokens": counts, "before": ahead, "part_no": batch["part"]})
+        finally:
+            release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    order = [F.col("curve"), F.xxhash64("text"), F.col("id")]
-    texts = texts.withColumn("curve", key("text"))
-    dealt = texts.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    encoded = dealt.select("id", "text").mapInPandas(encode, f"id {kind}, ids binary, tokens bigint, before bigint")
-    return store(encoded.withColumn("part_no", F.spark_partition_id()), "tokens")
+    # A number of the row tells equal texts and ids apart, so that a hot one spreads over ranges.
+    texts = texts.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    cuts = _range_cuts(texts, key_of(np.zeros((0, 2), dtype=np.int64)), parts)
+    keyed = texts.withColumn("key", key_of(cuts)).select("id", "text", "key.curve", "key.part")
+    dealt = keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "curve", F.xxhash64("text"), "id")
+    encoded = dealt.select("id", "text", "part").mapInPandas(
+        encode, f"id {kind}, ids binary, tokens bigint, before bigint, part_no int"
+    )
+    return store(encoded, "tokens")
+
+
+def range_of(curve: np.ndarray, row: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Number of cuts (curve, row), in order, that lie at or before each place."""
+    low, high = (np.searchsorted(cuts[:, 0], curve, side=side) for side in ("left", "right"))
+    part = low.astype(np.int32)
+    for i in np.flatnonzero(high > low):  # some cuts are on this very place of the curve
+        part[i] += np.searchsorted(cuts[low[i] : high[i], 1], row[i], side="right")
+    return part
+
+
+def _range_cuts(texts: DataFrame, key, parts: int) -> np.ndarray:
+    """Places that cut the documents into even ranges, from the keys of a bounded sample."""
+    if parts == 1:
+        return np.zeros((0, 2), dtype=np.int64)
+    n = texts.count()
+    some = texts.where(F.pmod("row", F.lit(1 << 30)) < F.lit(min(1 << 30, -(-SAMPLE_DOCUMENTS * (1 << 30) // max(n, 1)))))
+    rows = some.select("row", key.alias("key")).select("key.curve", "row").toPandas()  # SAMPLE_DOCUMENTS, about
+    ordered = rows.sort_values(["curve", "row"]).to_numpy(np.int64)
+    at = np.unique(np.arange(1, parts) * len(ordered) // parts) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return ordered[at]
 
 
 def pack(
@@ -244,6 +280,7 @@ def pack(
     shifts = sums.select("part_no", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("shift"))
     placed = rows.join(F.broadcast(shifts), "part_no").withColumn("at", F.col("shift") + F.col("before"))
 
+    @tidy
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
