@@ -22,8 +22,6 @@ and the text are read.
 from __future__ import annotations
 
 import json
-import sys
-import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -34,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import kept, release, store, text_or_empty
 from .packing import Tokens
 
 SEQUENCE_TOKENS = 2048
@@ -159,10 +157,7 @@ def fast_encoder(parts: dict) -> Callable[[str], list[int]] | None:
 
 def worker_tokens(path: str) -> ByteTokens:
     """One ``ByteTokens`` for all tasks that a Python worker runs."""
-    kept = sys.modules.setdefault("_vendastat_byte_tokens", types.ModuleType("_vendastat_byte_tokens"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.tokens = path, ByteTokens(path)
-    return kept.tokens
+    return kept(f"byte tokens of {path}", lambda: ByteTokens(path))
 
 
 def piece_lengths(tokens: int, capacity: int) -> list[int]:
@@ -264,23 +259,26 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
         wide, end = tokens.kind.itemsize, np.array([end_id], dtype=tokens.kind).tobytes()
         seen = [0] * (capacity + 1)
         names = ["row", "piece", "start", "length", "packed_ids", "ids_crc32", "nth"]
-        for batch in batches:
-            rows, held = [], 0
-            owner = batch["id"].to_numpy()
-            for i, found in enumerate(tokens.encode(batch["text"].tolist())):
-                ids, start = found + end, 0
-                for piece, length in enumerate(piece_lengths(len(ids) // wide, capacity)):
-                    some = ids[start * wide : (start + length) * wide]
-                    crc = zlib.crc32(np.frombuffer(some, dtype=tokens.kind).astype("<u4"))
-                    rows.append((i, piece, start, length, some, crc, seen[length]))
-                    seen[length] += 1
-                    start += length
-                held += len(ids)
-                if held > HELD_BYTES or i == len(batch) - 1:
-                    out = pd.DataFrame(rows, columns=names)
-                    out.insert(0, "id", owner[out.pop("row")])
-                    yield out
-                    rows, held = [], 0
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                owner = batch["id"].to_numpy()
+                for i, found in enumerate(tokens.encode(batch["text"].tolist())):
+                    ids, start = found + end, 0
+                    for piece, length in enumerate(piece_lengths(len(ids) // wide, capacity)):
+                        some = ids[start * wide : (start + length) * wide]
+                        crc = zlib.crc32(np.frombuffer(some, dtype=tokens.kind).astype("<u4"))
+                        rows.append((i, piece, start, length, some, crc, seen[length]))
+                        seen[length] += 1
+                        start += length
+                    held += len(ids)
+                    if held > HELD_BYTES or i == len(batch) - 1:
+                        out = pd.DataFrame(rows, columns=names)
+                        out.insert(0, "id", owner[out.pop("row")])
+                        yield out
+                        rows, held = [], 0
+        finally:
+            release()
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()

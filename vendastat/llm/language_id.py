@@ -2,8 +2,8 @@
 
 Document frequencies come from every document that may be learned from. The weights are fitted
 by follow-the-regularised-leader with an elastic-net penalty, one example at a time, on a
-bounded sample with equal shares of all languages (``SAMPLE_DOCUMENTS``, the only bound here);
-a part of that sample is kept back to calibrate one temperature. Prediction is a narrow
+bounded sample with equal shares of all languages (``SAMPLE_DOCUMENTS``; ``MAX_LANGUAGES`` bounds
+their number); a part of that sample is kept back to calibrate one temperature. Prediction is a narrow
 expression over the text: no shuffle, and any other columns pass through untouched.
 
 Texts are whole, in lower case, with every run of characters that are no letters as one space.
@@ -23,16 +23,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import slices
+from .common import tidy
 
 UNKNOWN = "und"
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 SAMPLE_DOCUMENTS = 4000
+#: Languages that can be told apart; of more labels the most frequent ones are learned.
+MAX_LANGUAGES = 256
 CALIBRATION_SHARE = 0.25
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.001
@@ -146,17 +149,23 @@ def train(
     learned = docs.where(usable).select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 30)).alias("place"),
+        # The number of the row tells rows apart whose id is null or repeated.
+        F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(1)), F.lit(1 << 30)).alias("place"),
     )
-    per_language = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = learned.groupBy("lang").agg(F.count("*").alias("n"))
+    per_language = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not per_language:
         return None
     idf = _idf(learned)
     each = max(1, sample_documents // len(per_language))
     shares = {lang: min(1.0, each / n) for lang, n in per_language.items()}
     share = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])[F.col("lang")]
-    sample = learned.where(F.col("place") < share * (1 << 30))
+    drawn = learned.where(F.col("place") < share * (1 << 30))
+    # The hash draws about as many; the order within a language makes the bound a firm one.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
 
+    @tidy
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_letter = letters()
         for batch in batches:
@@ -214,6 +223,7 @@ def train(
 def _idf(learned: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency of every feature over all documents given."""
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_letter, frequency, documents = letters(), np.zeros(FEATURES + 1, dtype=np.int64), 0
         for batch in batches:
@@ -235,6 +245,7 @@ def predict(text: Column, model: Model | None) -> Column:
     """A struct of ``lang`` and ``score`` for each text."""
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    @tidy
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         is_letter = letters()
         for texts in batches:
