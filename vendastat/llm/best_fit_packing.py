@@ -321,7 +321,8 @@ def packed(pieces: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS) -> DataFra
 
     before = Window.partitionBy("length").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counted.select("part_no", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = pieces.drop("packed_ids").join(shifts, ["part_no", "length"])
+    # A row for each file and length grows with the files, so it is merged and not broadcast.
+    ranked = pieces.drop("packed_ids").join(shifts.hint("merge"), ["part_no", "length"])
     ranked = ranked.withColumn("rank", F.col("shift") + F.col("nth"))
     return ranked.select(
         "id",
