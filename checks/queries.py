@@ -111,10 +111,11 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables of a database made of the input files."""
+    """The tables of a database made of the input files, with the rows of each."""
     database = "vendastat_inputs"
     register_tables(spark, database, {name: f"{folder}/{name}.parquet" for name in INPUT_TABLES})
-    return list_tables(spark, database)
+    names = [r["table_name"] for r in list_tables(spark, database).collect()]
+    return table_inventory({name: spark.table(f"{database}.{name}") for name in names}).orderBy("table_name")
 
 
 def payments_as_text(spark: SparkSession, folder: str) -> DataFrame:

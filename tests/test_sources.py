@@ -7,6 +7,7 @@ import pytest
 from conftest import DATA, item
 from pyspark.sql import functions as F
 
+from checks.queries import INPUT_TABLES, QUERIES
 from vendastat.plans.catalog import VIEWS, cache_views, refresh_views, register_views
 from vendastat.plans.fact import order_fact
 from vendastat.schemas import TABLES
@@ -173,6 +174,13 @@ def test_tables_are_listed(spark, tmp_path):
     assert spark.table("listed_here.a").count() == 3
 
 
+def test_listed_tables_are_counted(spark, tmp_path):
+    for n, name in enumerate(INPUT_TABLES):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = QUERIES["list_tables"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == sorted((name, n) for n, name in enumerate(INPUT_TABLES))
+
+
 @pytest.mark.parametrize("values, cuts", [([None, 0, 5, 9, 10, 11, 99], [5, 10]), ([None, "", "a", "it's", "z"], ["b", "it's"]), ([1, None], [])])
 def test_slices_of_a_table_take_every_row_once(spark, values, cuts):
     kind = "string" if isinstance(values[-2], str) else "bigint"
