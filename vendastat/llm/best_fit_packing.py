@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, release, store, text_or_empty
-from .packing import Tokens
+from .packing import Tokens, byte_of
 
 SEQUENCE_TOKENS = 2048
 #: Appended to every document.
 END_ID = 0
 #: Bytes of ids that are held before they are handed on.
 HELD_BYTES = 1 << 22
-#: Words whose tokens a worker remembers before it starts anew, and characters it encodes at once.
-MEMO_WORDS, BATCH_CHARACTERS = 2_000_000, 1 << 21
+#: Characters a worker encodes at once.
+BATCH_CHARACTERS = 1 << 21
 # Fixed value: how byte-level tokenizers part a text before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBES = ["don't  stop\n\n now", " \t x\u00a0y\u3000z", "\u00e9t\u00e9 \u00bd 12345 \u4e2d\u6587 \x1c\x85 ", "<|endoftext|> a'LL"]
@@ -76,7 +76,7 @@ class ByteTokens(Tokens):
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         ids = [self.fast(w) for w in words] if self.fast else self._exact(words)
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self._remember(hashes, counts, np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(counts.sum())))
+        self.memo.add(hashes, counts, np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(counts.sum())))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; words that are new are encoded for many texts at once."""
@@ -101,15 +101,8 @@ class ByteTokens(Tokens):
             return
         ends = np.append(starts[1:], len(whole))
         hashes = self.hasher.spans(whole, starts, ends)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MEMO_WORDS:
-            self._forget()
-        new = first[~self._places(distinct)[1]]
-        if len(new):
-            self._learn([whole[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], hashes[new])
-        place = self._places(distinct)[0]
-        counts = self.count[place][inverse]
-        raw = self._gather(self.begin[place][inverse], counts).tobytes()
+        ids, counts = self._ids(whole, hashes, starts, ends)
+        raw = ids.tobytes()
         upto = np.concatenate([[0], np.cumsum(counts)]) * self.kind.itemsize
         cuts = upto[np.searchsorted(starts, limits)].tolist()
         for begin, end in pairwise(cuts):
@@ -140,17 +133,14 @@ def fast_encoder(parts: dict) -> Callable[[str], list[int]] | None:
         import tiktoken
     except ModuleNotFoundError:
         return None
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    # Such vocabularies spell visible bytes as they are and the others from U+0100 on.
-    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
     special = {t["content"] for t in parts["added_tokens"]}
     vocabulary = {w: i for w, i in parts["model"]["vocab"].items() if w not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
     merged = [vocabulary["".join(m)] for m in merges]
     if merged != sorted(merged):
         return None
-    ranks = {bytes(byte_of[c] for c in w): i for w, i in vocabulary.items()}
+    spelling = byte_of()
+    ranks = {bytes(spelling[c] for c in w): i for w, i in vocabulary.items()}
     encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return encoding.encode_ordinary
 

@@ -19,7 +19,11 @@ and cut like others. An empty table gives an empty result. Only the id and the t
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from importlib.util import find_spec
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -39,8 +43,31 @@ VECTOR_SIZE, DIMENSIONS, BITS = 256, 3, 16
 MEMO_WORDS, BATCH_CHARACTERS = 2_000_000, 900_000
 #: Documents that place the ranges of the curve, about; they decide no sequence, only how even the ranges are.
 SAMPLE_DOCUMENTS = 20_000
-#: Punctuation that ends a plain word.
-ENDS = ".,"
+#: What stands for the end of a word in a vocabulary.
+MARK = "</w>"
+# A tokenizer that composes, lowers and parts texts like this, and merges like that.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_STEPS = (
+    {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+WORD_MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": MARK,
+    "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+}
+# Words of ASCII and of the letters from U+00C0 to U+017F that are composed and lowered one by one (not so U+0130),
+# and the pattern above on such words in lower case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[!-/:-@\\[-`{-~]+|\n").findall
 
 
 def projection(size: int = VECTOR_SIZE, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -67,14 +94,76 @@ def curve_keys(texts: list[str], matrix: np.ndarray, hasher: WordHasher) -> np.n
     return out
 
 
+class Memo:
+    """Ids of words by the 64-bit hash of the word: slots by hash, tried in a row, and a pool of ids."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.words = 0
+        self.slots, self.owners = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int32)
+        self.begin, self.pool = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=kind)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 where it is not known."""
+        keys, last = np.maximum(hashes, 1), np.uint64(len(self.slots) - 1)  # 0 is a free slot
+        out, left, slot = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), keys & last
+        while len(left):
+            there = self.slots[slot]
+            hit = there == keys
+            out[left[hit]] = self.owners[slot[hit]]
+            on = ~hit & (there != 0)
+            left, keys, slot = left[on], keys[on], (slot[on] + np.uint64(1)) & last
+        return out
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct words that are not known yet: how many ids each has, and all of them in a row."""
+        to, used = self.words + len(hashes), int(self.begin[self.words])
+        self.begin, self.pool = longer(self.begin, to + 1), longer(self.pool, used + len(ids))
+        self.begin[self.words + 1 : to + 1] = used + np.cumsum(counts)
+        self.pool[used : used + len(ids)] = ids
+        if 2 * to > len(self.slots):
+            taken = np.flatnonzero(self.slots)
+            keys, owners = self.slots[taken], self.owners[taken]
+            size = 1 << (2 * to - 1).bit_length()
+            self.slots, self.owners = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32)
+            self._settle(keys, owners)
+        self._settle(np.maximum(hashes, 1), np.arange(self.words, to, dtype=np.int32))
+        self.words = to
+
+    def _settle(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        last = np.uint64(len(self.slots) - 1)
+        slot = keys & last
+        while len(keys):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = keys[free]
+            mine = self.slots[slot] == keys  # of several for one slot, the last has it
+            self.owners[slot[mine]] = owners[mine]
+            keys, owners, slot = keys[~mine], owners[~mine], (slot[~mine] + np.uint64(1)) & last
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        begins = self.begin[places]
+        counts = self.begin[places + 1] - begins
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(begins - (ends - counts), counts) + np.arange(total)], counts
+
+
+def longer(array: np.ndarray, size: int) -> np.ndarray:
+    """``array`` with room for ``size`` items, doubled where it has to grow."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Tokens:
     """Token ids of texts, word by word, remembering words seen before.
 
     The tokenizer never joins anything across white space, so the ids of a text are those of
-    its words in a row. Words are told apart by a 64-bit hash; a memo of arrays, sorted by that
-    hash, holds where the ids of each lie in a pool. A plain word keeps its ids when a sentence
-    ends behind it or it is capitalised, as letters and punctuation are encoded apart and in
-    lower case.
+    its words in a row. Words are told apart by a 64-bit hash. New words of Latin letters, digits
+    and ASCII signs go through ``tiktoken`` with the vocabulary of the same file, where that gives
+    the same ids (see ``PieceEncoder``); all others go through ``tokenizers``.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,32 +171,10 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.kind = np.dtype(f"<u{id_width(self.tokenizer)}")
         self.hasher = WordHasher()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
-        self.begin, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=self.kind)
-
-    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each hash in the memo, and whether it is there."""
-        place = np.searchsorted(self.known, hashes)
-        inside = place < len(self.known)
-        found = inside.copy()
-        found[inside] = self.known[place[inside]] == hashes[inside]
-        return place, found
-
-    def _remember(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        begin = len(self.pool) + np.cumsum(counts) - counts
-        at = np.searchsorted(self.known, hashes[order])
-        self.known = np.insert(self.known, at, hashes[order])
-        self.begin = np.insert(self.begin, at, begin[order])
-        self.count = np.insert(self.count, at, counts[order])
-        self.pool = np.concatenate([self.pool, ids])
+        self.pieces = PieceEncoder.of(self.tokenizer)
+        self.memo = Memo(self.kind)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has: one text, parted by offsets."""
@@ -116,39 +183,26 @@ class Tokens:
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         return np.array(encoded.ids, dtype=self.kind), np.diff(np.searchsorted(begins, starts))
 
-    def _learn_as_they_are(self, words: list[str], hashes: np.ndarray) -> None:
-        if words:
-            ids, counts = self._encode_words(words)
-            self._remember(hashes, counts, ids)
-
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        bases = [w.rstrip(ENDS) if self.lower and w.isascii() else "" for w in words]
-        plain = np.array([b.isalpha() for b in bases], dtype=bool)
-        other = np.flatnonzero(~plain)
-        self._learn_as_they_are([words[i] for i in other], hashes[other])
-        mine = np.flatnonzero(plain)
-        if not len(mine):
-            return
-        parts = [(bases[i].lower(), words[i][len(bases[i]) :]) for i in mine]
-        joined = " ".join([p for pair in parts for p in (pair[0], pair[1] or ENDS[0])])
-        codes, _, _ = self.hasher.words(joined.encode())
-        distinct, first = np.unique(codes, return_index=True)
-        new = first[~self._places(distinct)[1]]
-        flat = [p for pair in parts for p in (pair[0], pair[1] or ENDS[0])]
-        self._learn_as_they_are([flat[i] for i in new], codes[new])
-        place, _ = self._places(codes)
-        counts, begins = self.count[place], self.begin[place]
-        counts[1::2] *= np.array([bool(tail) for _, tail in parts])
-        whole = counts[::2] + counts[1::2]
-        ids = self._gather(begins, counts)
-        absent = ~self._places(hashes[mine])[1]  # the others are bases themselves
-        keep = np.repeat(absent, whole)
-        self._remember(hashes[mine][absent], whole[absent], ids[keep])
-
-    def _gather(self, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(begins - (ends - counts), counts) + np.arange(total)]
+        plain = np.fromiter((bool(self.pieces and PLAIN(w)) for w in words), dtype=bool, count=len(words))
+        for some, encode in ((plain, self.pieces), (~plain, self._encode_words)):
+            if some.any():
+                ids, counts = encode(list(compress(words, some)))
+                self.memo.add(hashes[some], counts, ids.astype(self.kind))
+
+    def _ids(self, whole: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words between each start and end, in a row, and how many each has; new words are learnt."""
+        places = self.memo.places(hashes)
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            distinct, first = np.unique(hashes[unknown], return_index=True)
+            if self.memo.words and self.memo.words + len(distinct) > MEMO_WORDS:
+                self.memo = Memo(self.kind)
+                return self._ids(whole, hashes, starts, ends)
+            new = unknown[first]
+            self._learn([whole[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], distinct)
+            places[unknown] = self.memo.places(hashes[unknown])
+        return self.memo.ids(places)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; words that are new are encoded for many texts at once."""
@@ -161,16 +215,7 @@ class Tokens:
                 at += 1
             whole = b"\n".join(data)
             hashes, starts, ends = self.hasher.words(whole)
-            distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) + len(distinct) > MEMO_WORDS:
-                self._forget()
-            new = first[~self._places(distinct)[1]]
-            if len(new):
-                spelled = [whole[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-                self._learn(spelled, hashes[new])
-            place = self._places(distinct)[0]
-            counts = self.count[place][inverse]
-            ids = self._gather(self.begin[place][inverse], counts)
+            ids, counts = self._ids(whole, hashes, starts, ends)
             upto = np.concatenate([[0], np.cumsum(counts)])
             limits = np.cumsum([len(d) + 1 for d in data])
             cuts = upto[np.searchsorted(starts, limits)].tolist()
@@ -180,6 +225,74 @@ class Tokens:
                 begin = cut
 
 
+class PieceEncoder:
+    """``tiktoken`` with the vocabulary of a tokenizer that marks the ends of words.
+
+    The tokenizer normalises, parts words into letters, single digits and signs, and merges the bytes
+    of each part with a mark at its end; here the mark is a space. ``tiktoken`` merges any two neighbours
+    whose bytes are a token, ``tokenizers`` only the listed two. If every token comes out of its
+    own bytes by the listed merges, both give the same: inside the bytes of a token the merges
+    run as they do on the token alone, and there the last one is the listed one.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("pieces", pat_str=r"[^ \n]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.closing = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in ranks.items() if token.endswith(b" ")]] = True
+
+    @classmethod
+    def of(cls, tokenizer) -> PieceEncoder | None:
+        """None if ``tiktoken`` is missing or the tokenizer is of another kind."""
+        from tokenizers.models import BPE
+
+        parts = json.loads(tokenizer.to_str())
+        model = parts["model"]
+        if find_spec("tiktoken") is None or (parts["normalizer"], parts["pre_tokenizer"]) != WORD_STEPS:
+            return None
+        if {k: v for k, v in model.items() if k not in ("vocab", "merges")} != WORD_MODEL:
+            return None
+        special = {t["content"] for t in parts["added_tokens"]}
+        vocabulary = {w: i for w, i in model["vocab"].items() if w not in special}
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        merged = [vocabulary[a + b] for a, b in merges]
+        symbols = {c + end for c in byte_of() for end in ("", MARK)}
+        if merged != sorted(set(merged)) or set(vocabulary) - {a + b for a, b in merges} != symbols:
+            return None
+        if max(vocabulary[s] for s in symbols) > min(merged, default=len(vocabulary)):
+            return None
+        ranks = {spelled(w): i for w, i in vocabulary.items()}
+        bare = BPE(vocab=model["vocab"], merges=merges)
+        alone = ((bare, w) if not w.endswith(MARK) else (tokenizer.model, w[: -len(MARK)]) for w in map("".join, merges))
+        if len(ranks) < len(vocabulary) or any(len(by.tokenize(w)) != 1 for by, w in alone):
+            return None
+        return cls(ranks)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``PLAIN`` words in a row, and how many each has."""
+        text = " ".join(PIECES("\n".join([*words, ""]).lower()))
+        ids = self.encoding.encode_to_numpy(text)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        pieces = np.searchsorted(np.flatnonzero(raw == 32), breaks) - np.arange(len(breaks))  # a space follows each break, too
+        ends = np.flatnonzero(self.closing[ids])[pieces - 1] + 1
+        return ids, np.diff(ends, prepend=0)
+
+
+def byte_of() -> dict[str, int]:
+    """How byte-level vocabularies spell bytes: visible ones as they are, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def spelled(token: str, spelling: dict[str, int] = byte_of()) -> bytes:
+    """The bytes of a token, with a space for the mark at its end."""
+    bare = token.removesuffix(MARK)
+    return bytes(spelling[c] for c in bare) + b" " * (bare != token)
+
+
 def worker_tokens(path: str) -> Tokens:
     """One ``Tokens`` for all tasks that a Python worker runs, so words are learnt once."""
     return kept(f"tokens of {path}", lambda: Tokens(path))
