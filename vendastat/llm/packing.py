@@ -174,6 +174,9 @@ class Tokens:
         self.kind = np.dtype(f"<u{id_width(self.tokenizer)}")
         self.hasher = WordHasher()
         self.pieces = PieceEncoder.of(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
         self.memo = Memo(self.kind)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,7 @@ class Tokens:
         if len(unknown):
             distinct, first = np.unique(hashes[unknown], return_index=True)
             if self.memo.words and self.memo.words + len(distinct) > MEMO_WORDS:
-                self.memo = Memo(self.kind)
+                self._forget()
                 return self._ids(whole, hashes, starts, ends)
             new = unknown[first]
             self._learn([whole[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], distinct)
